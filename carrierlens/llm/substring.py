@@ -4,8 +4,9 @@
    documents, so a passage that a third of the corpus shares leaves a task once. What is left goes to hash buckets as
    packed arrays: seven bytes a window, with no positions, in the order of the documents.
 2. Each bucket finds, for every hash, the smallest document that has it, and answers with the windows (by their order
-   in document and bucket) of larger documents.
-3. Documents meet their answers, hash their windows again, and the repeated windows merge into maximal intervals.
+   in document and bucket) of larger documents, packed by groups of documents; the groups turn these into one row for
+   each document that loses words.
+3. Documents meet their rows, hash their windows again, and the repeated windows merge into maximal intervals.
 
 Two windows count as equal if their 64-bit hashes are (56 bits are sent; the bucket, of other bits, tells the rest).
 """
@@ -148,48 +149,75 @@ def _ask(window: int, buckets: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For one bucket: doc, text_key, bucket and the windows (by order in document and bucket) that a smaller document has."""
-    docs, keys, row, ordinal, hashes, flagged, at = [], [], [], [], [], [], 0
-    for r in table.select(["doc", "text_key", "n", "asked", "hashes"]).to_pylist():
-        n = np.frombuffer(r["n"], np.int32).astype(np.int64)
-        total = int(n.sum())
-        asked = np.unpackbits(np.frombuffer(r["asked"], np.uint8), count=total).astype(bool)
-        of = np.repeat(np.arange(len(n)), n)
-        place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        docs.append(np.frombuffer(r["doc"], np.int64))
-        keys.append(np.frombuffer(r["text_key"], np.int64))
-        row.append((of[asked] + at).astype(np.int32))
-        ordinal.append(place[asked].astype(np.int32))
-        hashes.append(_unseven(r["hashes"]))
-        # what the task has settled itself
-        flagged.append(np.stack([of[~asked] + at, place[~asked]]).astype(np.int32))
-        at += len(n)
-    docs, keys, row, ordinal, h = map(np.concatenate, (docs, keys, row, ordinal, hashes))
-    order = np.lexsort((docs[row], h))
-    new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.empty(0, bool)
-    least = docs[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
-    hit = order[docs[row[order]] != least]
-    flagged.append(np.stack([row[hit], ordinal[hit]]))
-    row, ordinal = np.concatenate(flagged, axis=1)
-    order = np.lexsort((ordinal, row))
-    row, ordinal = row[order], ordinal[order]
-    rows, first = np.unique(row, return_index=True)
-    bounds = np.r_[first, len(row)]
-    places = [ordinal[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return pa.table({"doc": docs[rows], "text_key": keys[rows], "bucket": pa.array([table["bucket"][0].as_py()] * len(rows), pa.int64()), "places": pa.array(places, pa.binary())})
-
-
-def covered(hashes: np.ndarray, answers, buckets: int, window: int) -> np.ndarray:
+def _answer(groups: int):
+    """For one bucket: what a smaller document has, by group of documents: rows of documents, their windows and places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, keys, row, ordinal, hashes, flagged, at = [], [], [], [], [], [], 0
+        for r in table.select(["doc", "text_key", "n", "asked", "hashes"]).to_pylist():
+            n = np.frombuffer(r["n"], np.int32).astype(np.int64)
+            total = int(n.sum())
+            asked = np.unpackbits(np.frombuffer(r["asked"], np.uint8), count=total).astype(bool)
+            of = np.repeat(np.arange(len(n)), n)
+            place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            docs.append(np.frombuffer(r["doc"], np.int64))
+            keys.append(np.frombuffer(r["text_key"], np.int64))
+            row.append((of[asked] + at).astype(np.int32))
+            ordinal.append(place[asked].astype(np.int32))
+            hashes.append(_unseven(r["hashes"]))
+            # what the task has settled itself
+            flagged.append(np.stack([of[~asked] + at, place[~asked]]).astype(np.int32))
+            at += len(n)
+        docs, keys, row, ordinal, h = map(np.concatenate, (docs, keys, row, ordinal, hashes))
+        order = np.lexsort((docs[row], h))
+        new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.empty(0, bool)
+        least = docs[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
+        hit = order[docs[row[order]] != least]
+        flagged.append(np.stack([row[hit], ordinal[hit]]))
+        row, ordinal = np.concatenate(flagged, axis=1)
+        group = (mix(docs.view(np.uint64) ^ keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)[row]
+        order = np.lexsort((ordinal, row, group))
+        row, ordinal, group = row[order], ordinal[order], group[order]
+        edges = np.searchsorted(group, np.arange(groups + 1))
+        out = {k: [] for k in ("to", "bucket", "doc", "text_key", "n", "places")}
+        bucket = table["bucket"][0].as_py()
+        for g in np.flatnonzero(np.diff(edges)):
+            a, b = edges[g], edges[g + 1]
+            rows, n = np.unique(row[a:b], return_counts=True)
+            for k, v in (("to", int(g)), ("bucket", bucket), ("doc", docs[rows].tobytes()), ("text_key", keys[rows].tobytes()), ("n", n.astype(np.int32).tobytes()), ("places", ordinal[a:b].tobytes())):
+                out[k].append(v)
+        return pa.table({k: pa.array(v, pa.int64() if k in ("to", "bucket") else pa.binary()) for k, v in out.items()})
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """For one group of documents: a row for each that loses windows, with their buckets and places."""
+    docs, keys, buckets, places = [], [], [], []
+    for r in table.to_pylist():
+        n = np.frombuffer(r["n"], np.int32)
+        docs.append(np.repeat(np.frombuffer(r["doc"], np.int64), n))
+        keys.append(np.repeat(np.frombuffer(r["text_key"], np.int64), n))
+        places.append(np.frombuffer(r["places"], np.int32))
+        buckets.append(np.full(len(places[-1]), r["bucket"], np.int32))
+    docs, keys, buckets, places = map(np.concatenate, (docs, keys, buckets, places))
+    order = np.lexsort((keys, docs))
+    docs, keys, buckets, places = docs[order], keys[order], buckets[order], places[order]
+    first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])
+    bounds = np.r_[first, len(docs)].tolist()
+    spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+    return pa.table({"doc": docs[first], "text_key": keys[first], "buckets": pa.array([buckets[a:b].tobytes() for a, b in spans], pa.binary()), "places": pa.array([places[a:b].tobytes() for a, b in spans], pa.binary())})
+
+
+def covered(hashes: np.ndarray, at_buckets: np.ndarray, places: np.ndarray, buckets: int, window: int) -> np.ndarray:
     """Which words of a document lie in a repeated window: the maximal removal intervals, as a mask over its words."""
     bucket = _bucket_of(hashes, buckets)
     order = np.argsort(bucket, kind="stable")
     first = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    at = np.unique(order[first[at_buckets] + places])
     change = np.zeros(len(hashes) + window, np.int32)
-    for a in answers:
-        at = order[first[a["bucket"]] + np.frombuffer(a["places"], np.int32)]
-        change[at] += 1
-        change[at + window] -= 1
+    change[at] += 1
+    change[at + window] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
@@ -206,17 +234,18 @@ def _remove(window: int, buckets: int):
         for batch in batches:
             out = {k: [] for k in kinds}
             texts = batch["text"].cast(pa.binary()).to_pylist()
-            for raw, answers in zip(texts, batch["answers"].to_pylist(), strict=True):
+            for raw, at, places in zip(texts, batch["buckets"].to_pylist(), batch["places"].to_pylist(), strict=True):
                 words = (raw or b"").split()
                 spans, n = [], len(words)
-                if answers:
-                    mask = covered(window_hashes(word_hashes(raw), window), answers, buckets, window)
+                if places:
+                    hashes = window_hashes(word_hashes(raw), window)
+                    mask = covered(hashes, np.frombuffer(at, np.int32), np.frombuffer(places, np.int32), buckets, window)
                     spans = intervals(mask)
                     words = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
                 kept = b" ".join(words)
                 for k, v in (("n_words", n), ("n_removed", n - len(words)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("spans", spans), ("kept", kept.decode())):
                     out[k].append(v)
-            same = [(name, batch[name]) for name in batch.schema.names if name not in ("answers",)]
+            same = [(name, batch[name]) for name in batch.schema.names if name not in ("buckets", "places")]
             yield as_batch(dict(same) | {k: pa.array(out[k], t) for k, t in kinds.items()})
 
     return run
@@ -236,8 +265,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     octets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-octets // (6 * BUCKET)))  # a word and its separator take six bytes or so
     asked = keyed.select("doc", "text_key", "text").mapInArrow(_ask(window, buckets), "bucket long, doc binary, text_key binary, n binary, asked binary, hashes binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "doc long, text_key long, bucket long, places binary")
-    answers = answers.groupBy("doc", "text_key").agg(F.collect_list(F.struct("bucket", "places")).alias("answers"))
-    met = keyed.join(answers, ["doc", "text_key"], "left").select("doc_id", "text", "answers")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(buckets), "to long, bucket long, doc binary, text_key binary, n binary, places binary")
+    answers = answers.groupBy("to").applyInArrow(_gather, "doc long, text_key long, buckets binary, places binary")
+    met = keyed.join(answers, ["doc", "text_key"], "left").select("doc_id", "text", "buckets", "places")
     kinds = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string"
     return met.mapInArrow(_remove(window, buckets), kinds)
