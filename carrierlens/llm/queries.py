@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrierlens.llm import packing, simhash, substring
+from carrierlens.llm import packing, simhash, substring, toxicity
 from carrierlens.llm.common import read
 
 
@@ -21,10 +21,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 
 #: 13-word windows as joined strings; a window's first owner by min(doc_id).
