@@ -25,7 +25,7 @@ from carrierlens.llm.common import as_batch, small_batches
 
 THRESHOLD = 0.7
 #: Bounds of the sample that is fitted, in documents of each kind; longer texts than FIT_CHARS are not fitted on.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2_500, 6_000, 50_000
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2_000, 5_000, 50_000
 TOXIC_BYTES, ORDINARY_BYTES = 1_500, 8_192
 #: A stem is favoured if it is in this share of toxic documents and so many times likelier there.
 SHARE, LIFT = 0.03, 6.0
@@ -103,9 +103,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _stems(window: bytes) -> list[bytes]:
-    w = b" " + window + b" "
-    return [w[:n] for n in range(5, min(12, len(w)) + 1)]
+SHORTEST, LONGEST = 5, 12
+
+
+def _favoured(toxic: list[Counter], ordinary: list[Counter]) -> set[bytes]:
+    """Beginnings of windows that enough toxic documents have, and few others; longer ones only of frequent shorter ones."""
+    out: set[bytes] = set()
+    frequent = None
+    for n in range(SHORTEST, LONGEST + 1):
+        stems = lambda counts: {s for w in counts if len(w) + 2 >= n and (frequent is None or (b" " + w)[: n - 1] in frequent) and len(s := (b" " + w + b" ")[:n]) == n}  # noqa: B023, E731
+        in_toxic = Counter()
+        for counts in toxic:
+            in_toxic.update(stems(counts))
+        now = {s for s, k in in_toxic.items() if k >= max(2, SHARE * len(toxic))}
+        in_ordinary = Counter()
+        for counts in ordinary:
+            in_ordinary.update(stems(counts) & now)
+        out |= {s for s in now if in_toxic[s] / len(toxic) >= LIFT * (in_ordinary[s] + 1) / (len(ordinary) + 1)}
+        frequent = now
+    return out
 
 
 def fit(toxic: list[Counter], ordinary: list[Counter], weight: float = 1.0) -> Model:
@@ -113,16 +129,14 @@ def fit(toxic: list[Counter], ordinary: list[Counter], weight: float = 1.0) -> M
     if not toxic or not ordinary:
         none = np.zeros(0)
         return Model(b"", b"", none, none, none, none, constant=1.0 if toxic else 0.0)
-    in_toxic, in_ordinary = Counter(), Counter()
-    for docs, into in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for counts in docs:
-            into.update({s for w in counts for s in _stems(w)})
-    favoured = {s for s, n in in_toxic.items() if n >= max(2, SHARE * len(toxic)) and n / len(toxic) >= LIFT * (in_ordinary[s] + 1) / (len(ordinary) + 1)}
+    favoured = _favoured(toxic, ordinary)
     stems, common = Counter(), Counter()
     for counts in toxic:
         for w in counts:
-            if mine := [s for s in _stems(w) if s in favoured]:
-                stems[mine[-1]] += 1
+            padded = b" " + w + b" "
+            longest = next((s for n in range(min(LONGEST, len(padded)), SHORTEST - 1, -1) if (s := padded[:n]) in favoured), None)
+            if longest:
+                stems[longest] += 1
     for counts in ordinary:
         common.update(b" " + w + b" " for w in counts)
     model = Model(_dictionary(common, ORDINARY_BYTES), _dictionary(stems, TOXIC_BYTES), np.zeros((LENGTHS, LENGTHS)), np.zeros(5), np.ones(5), np.zeros(6))
