@@ -61,6 +61,13 @@ def drop(df: DataFrame | None) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def with_rest(docs: DataFrame, *named: tuple[str, str]) -> tuple[DataFrame, list[str]]:
+    """The named columns (name, type) cast, and all columns of docs as they are in one struct _rest, whatever their names."""
+    columns = docs.columns
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0))
+    return docs.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in named], kept.alias("_rest")), columns
+
+
 def as_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from carrierlens.llm.common import as_batch, mix, small_batches
+from carrierlens.llm.common import as_batch, mix, small_batches, with_rest
 
 WINDOW = 13
 #: Windows that a task holds at once, about, and windows of one bucket, about.
@@ -245,28 +246,28 @@ def _remove(window: int, buckets: int):
                 kept = b" ".join(words)
                 for k, v in (("n_words", n), ("n_removed", n - len(words)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("spans", spans), ("kept", kept.decode())):
                     out[k].append(v)
-            same = [(name, batch[name]) for name in batch.schema.names if name not in ("buckets", "places")]
-            yield as_batch(dict(same) | {k: pa.array(out[k], t) for k, t in kinds.items()})
+            yield as_batch({"_rest": batch["_rest"]} | {k: pa.array(out[k], t) for k, t in kinds.items()})
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, n_words, n_removed, kept_sha256, spans (word intervals removed), kept (the text left) of every row.
+    """docs with n_words, n_removed, kept_sha256, spans (word intervals removed) and kept (the text left) beside its columns.
 
-    Words are runs without the six ASCII separators. A word goes if a window of `window` words that covers it also starts in
-    a row with a smaller doc_id; windows are judged on the input. Null text: no words (kept is empty, text null).
-    Null doc_id: larger than every id. Rows that repeat a doc_id: judged each by its own text, never against each
-    other. Fewer words than the window: nothing is removed. No rows: no rows. Other columns are not read.
+    Ours replace columns of these names. Words are runs without the six ASCII separators. A word goes if a window of
+    `window` words that covers it also starts in a row with a smaller doc_id; windows are judged on the input. Null
+    text: no words (kept is empty). Null doc_id: larger than every id. Rows that repeat a doc_id: judged each by its own
+    text, never against each other. Fewer words than the window: nothing is removed. No rows: no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("text_key", F.xxhash64("text"))
-    octets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, columns = with_rest(docs, ("doc_id", "long"), ("text", "string"))
+    keyed = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("text_key"), "text", "_rest")
+    octets = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(12, -(-octets // (6 * BUCKET)))  # a word and its separator take six bytes or so
     asked = keyed.select("doc", "text_key", "text").mapInArrow(_ask(window, buckets), "bucket long, doc binary, text_key binary, n binary, asked binary, hashes binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer(buckets), "to long, bucket long, doc binary, text_key binary, n binary, places binary")
     answers = answers.groupBy("to").applyInArrow(_gather, "doc long, text_key long, buckets binary, places binary")
-    met = keyed.join(answers, ["doc", "text_key"], "left").select("doc_id", "text", "buckets", "places")
-    kinds = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string"
-    return met.mapInArrow(_remove(window, buckets), kinds)
+    met = keyed.join(answers, ["doc", "text_key"], "left").select("_rest", "buckets", "places")
+    ours = StructType.fromDDL("n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string")
+    out = met.withColumn("text", F.col("_rest")["text"].cast("string")).mapInArrow(_remove(window, buckets), StructType([rows.schema["_rest"], *ours.fields]))
+    return out.select(*[F.col("_rest")[c].alias(c) for c in columns if c not in ours.names], *ours.names)

@@ -20,8 +20,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from carrierlens.llm.common import as_batch, small_batches
+from carrierlens.llm.common import as_batch, small_batches, with_rest
 
 THRESHOLD = 0.7
 #: Bounds of the sample that is fitted, in documents of each kind; longer texts than FIT_CHARS are not fitted on.
@@ -205,14 +206,16 @@ def _score(model: Model):
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text, held_out, score, predicted of every row of docs(doc_id, text); labels(doc_id, toxic) are learnt from.
+    """docs with held_out, score and predicted beside its columns (ours replace columns of these names).
 
-    The score reads nothing but the text. Null, empty and wordless texts: the score of a text without windows. Null
-    doc_id: scored, not held out. Labels that repeat a document: toxic if one of them is. Labels of one kind only, or
-    none: the score is that kind's for every text (0 without labels). No rows: no rows. Other columns are not read.
+    Read are doc_id and text; labels(doc_id, toxic) are learnt from. The score reads nothing but the text. Null, empty
+    and wordless texts: the score of a text without windows. Null doc_id: scored, not held out. Labels that repeat a
+    document: toxic if one of them is. Labels of one kind only, or none: the score is that kind's for every text (0
+    without labels). Repeated rows: scored each. No rows: no rows.
     """
     small_batches(docs.sparkSession)
     model = train(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(model), "doc_id long, text string, score double")
-    return scored.select("doc_id", "text", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows, columns = with_rest(docs, ("doc_id", "long"), ("text", "string"))
+    scored = rows.mapInArrow(_score(model), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    ours = {"held_out": _held_out(F.col("doc_id")), "score": F.col("score"), "predicted": (F.col("score") >= threshold).cast("int")}
+    return scored.select(*[F.col("_rest")[c].alias(c) for c in columns if c not in ours], *[v.alias(c) for c, v in ours.items()])
