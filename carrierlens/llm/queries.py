@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrierlens.llm import packing, simhash, substring, surrogates, toxicity
+from carrierlens.llm import packing, sharding, simhash, substring, surrogates, toxicity
 from carrierlens.llm.common import read
 
 
@@ -31,12 +31,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_histogram_sharding": op9_histogram_sharding,
 }
 
 #: 13-word windows as joined strings; a window's first owner by min(doc_id).
