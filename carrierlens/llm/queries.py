@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrierlens.llm import packing, sharding, simhash, substring, surrogates, toxicity
+from carrierlens.llm import packing, sharding, simhash, substring, surrogates, toxicity, warc
 from carrierlens.llm.common import read
 
 
@@ -13,6 +13,11 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_replaced")
 
 
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -37,6 +42,7 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op4_warc_normaliser": op4_warc_normaliser,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -55,4 +61,16 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha2
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
+#: Base32 of the SHA-1, five bits a letter.
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT h, min(page_id) AS least,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8)) & 31)::BIGINT + 1, 1) FOR i IN range(0, 32)], 'string_agg', '') AS b32
+  FROM p GROUP BY h)
+SELECT page_id, strlen(html) AS payload_bytes, b32 AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM p JOIN d USING (h)
+"""
+
+ORACLE: dict[str, str] = {"op4_warc_normaliser": OP4_SQL, "op5_substring_dedup": OP5_SQL}
