@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrierlens.llm import packing, sharding, simhash, substring, surrogates, toxicity, warc
+from carrierlens.llm import bitsliced, packing, sharding, simhash, substring, surrogates, toxicity, warc
 from carrierlens.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_replaced")
 
 
+def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_inner_products(read(spark, sf_dir, "embeddings"))
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive(read(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +46,7 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op3_bit_sliced_topk": op3_bit_sliced_topk,
     "op4_warc_normaliser": op4_warc_normaliser,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -73,4 +78,13 @@ SELECT page_id, strlen(html) AS payload_bytes, b32 AS payload_digest,
 FROM p JOIN d USING (h)
 """
 
-ORACLE: dict[str, str] = {"op4_warc_normaliser": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+OP3_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {"op3_bit_sliced_topk": OP3_SQL, "op4_warc_normaliser": OP4_SQL, "op5_substring_dedup": OP5_SQL}
