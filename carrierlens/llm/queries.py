@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrierlens.llm import bitsliced, packing, sharding, simhash, substring, surrogates, toxicity, warc
+from carrierlens.llm import ann, bitsliced, packing, sharding, simhash, substring, surrogates, toxicity, warc
 from carrierlens.llm.common import read
 
 
@@ -44,6 +44,10 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op10_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op3_bit_sliced_topk": op3_bit_sliced_topk,
@@ -53,6 +57,7 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_histogram_sharding": op9_histogram_sharding,
+    "op10_stable_projection_ann": op10_stable_projection_ann,
 }
 
 #: 13-word windows as joined strings; a window's first owner by min(doc_id).
