@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrierlens.llm import ann, bitsliced, packing, sharding, simhash, substring, surrogates, toxicity, warc
+from carrierlens.llm import ann, bitsliced, packing, pieces, sharding, simhash, substring, surrogates, toxicity, warc
 from carrierlens.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_replaced")
 
 
+def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_inner_products(read(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ def op10_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_sentencepiece_dropout": op2_sentencepiece_dropout,
     "op3_bit_sliced_topk": op3_bit_sliced_topk,
     "op4_warc_normaliser": op4_warc_normaliser,
     "op5_substring_dedup": op5_substring_dedup,
