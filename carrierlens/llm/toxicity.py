@@ -88,13 +88,8 @@ class Model:
         return got
 
     def features(self, counts: Counter) -> tuple[float, ...]:
-        total, towards, away = max(1, sum(counts.values())), 0.0, 0.0
-        for w, n in counts.items():
-            v = self.lean(w)
-            if v > LEAN:
-                towards += n * v
-            away += n * v
-        return towards / total**0.5, 100 * towards / total, np.log1p(towards), np.log(total), away / total**0.5
+        leans = np.fromiter((self.lean(w) for w in counts), np.float64, len(counts))
+        return _features(leans, np.fromiter(counts.values(), np.float64, len(counts)))
 
     def score(self, counts: Counter) -> float:
         if self.constant is not None:
@@ -104,57 +99,81 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _features(leans: np.ndarray, counts: np.ndarray) -> tuple[float, ...]:
+    total = max(1.0, counts.sum())
+    towards, away = float(counts @ np.where(leans > LEAN, leans, 0.0)), float(counts @ leans)
+    return towards / total**0.5, 100 * towards / total, np.log1p(towards), np.log(total), away / total**0.5
+
+
+class Sample:
+    """Documents of one kind as numbers of their windows in a shared list, with counts."""
+
+    def __init__(self, texts, known: dict[bytes, int]):
+        self.windows, self.counts = [], []
+        for text in texts:
+            c = windows(text)
+            self.windows.append(np.fromiter((known.setdefault(w, len(known)) for w in c), np.int32, len(c)))
+            self.counts.append(np.fromiter(c.values(), np.int32, len(c)))
+
+    def __len__(self):
+        return len(self.windows)
+
+    def documents_with(self, numbers: np.ndarray) -> np.ndarray:
+        """In how many documents each of the numbers (one for each window; negative: none) occurs."""
+        out = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
+        for own in self.windows:
+            n = numbers[own]
+            out[np.unique(n[n >= 0])] += 1
+        return out
+
+
 SHORTEST, LONGEST = 5, 12
 
 
-def _favoured(toxic: list[Counter], ordinary: list[Counter]) -> set[bytes]:
+def _favoured(padded: list[bytes], toxic: Sample, ordinary: Sample) -> set[bytes]:
     """Beginnings of windows that enough toxic documents have, and few others; longer ones only of frequent shorter ones."""
     out: set[bytes] = set()
     frequent = None
     for n in range(SHORTEST, LONGEST + 1):
-        stems = lambda counts: {s for w in counts if len(w) + 2 >= n and (frequent is None or (b" " + w)[: n - 1] in frequent) and len(s := (b" " + w + b" ")[:n]) == n}  # noqa: B023, E731
-        in_toxic = Counter()
-        for counts in toxic:
-            in_toxic.update(stems(counts))
-        now = {s for s, k in in_toxic.items() if k >= max(2, SHARE * len(toxic))}
-        in_ordinary = Counter()
-        for counts in ordinary:
-            in_ordinary.update(stems(counts) & now)
-        out |= {s for s in now if in_toxic[s] / len(toxic) >= LIFT * (in_ordinary[s] + 1) / (len(ordinary) + 1)}
-        frequent = now
+        stems: dict[bytes, int] = {}
+        numbers = np.fromiter((stems.setdefault(w[:n], len(stems)) if len(w) >= n and (frequent is None or w[: n - 1] in frequent) else -1 for w in padded), np.int64, len(padded))
+        in_toxic, in_ordinary = toxic.documents_with(numbers), ordinary.documents_with(numbers)
+        frequent = {s for s, k in stems.items() if in_toxic[k] >= max(2, SHARE * len(toxic))}
+        out |= {s for s in frequent if in_toxic[stems[s]] / len(toxic) >= LIFT * (in_ordinary[stems[s]] + 1) / (len(ordinary) + 1)}
     return out
 
 
-def fit(toxic: list[Counter], ordinary: list[Counter], weight: float = 1.0) -> Model:
-    """A model of both kinds of documents; weight: how many ordinary documents each of those given stands for."""
-    if not toxic or not ordinary:
+def fit(toxic_texts: list[str], ordinary_texts: list[str], weight: float = 1.0) -> Model:
+    """A model of both kinds of texts; weight: how many ordinary documents each of those given stands for."""
+    if not toxic_texts or not ordinary_texts:
         none = np.zeros(0)
-        return Model(b"", b"", none, none, none, none, constant=1.0 if toxic else 0.0)
-    favoured = _favoured(toxic, ordinary)
+        return Model(b"", b"", none, none, none, none, constant=1.0 if toxic_texts else 0.0)
+    known: dict[bytes, int] = {}
+    toxic, ordinary = Sample(toxic_texts, known), Sample(ordinary_texts, known)
+    padded = [b" " + w + b" " for w in known]
+    favoured = _favoured(padded, toxic, ordinary)
+    each = np.arange(len(padded))
+    in_toxic, in_ordinary = toxic.documents_with(each), ordinary.documents_with(each)
     stems, common = Counter(), Counter()
-    for counts in toxic:
-        for w in counts:
-            padded = b" " + w + b" "
-            longest = next((s for n in range(min(LONGEST, len(padded)), SHORTEST - 1, -1) if (s := padded[:n]) in favoured), None)
-            if longest:
-                stems[longest] += 1
-    for counts in ordinary:
-        common.update(b" " + w + b" " for w in counts)
+    for k in np.flatnonzero(in_toxic).tolist():
+        w = padded[k]
+        longest = next((s for n in range(min(LONGEST, len(w)), SHORTEST - 1, -1) if (s := w[:n]) in favoured), None)
+        if longest:
+            stems[longest] += int(in_toxic[k])
+    for k in np.flatnonzero(in_ordinary > 1).tolist():
+        common[padded[k]] = int(in_ordinary[k])
     model = Model(_dictionary(common, ORDINARY_BYTES), _dictionary(stems, TOXIC_BYTES), np.zeros((LENGTHS, LENGTHS)), np.zeros(5), np.ones(5), np.zeros(6))
     model.ready()
-    seen, known = np.zeros((2, LENGTHS, LENGTHS)), {}
+    at = np.array([model.lengths(w) for w in known], np.int64).reshape(-1, 2)
+    seen = np.zeros((2, LENGTHS, LENGTHS))
     for y, docs in enumerate((ordinary, toxic)):
-        for counts in docs:
-            for w, n in counts.items():
-                at = known.get(w)
-                if at is None:
-                    at = known[w] = model.lengths(w)
-                seen[(y, *at)] += n
+        for own, n in zip(docs.windows, docs.counts, strict=True):
+            np.add.at(seen[y], (at[own, 0], at[own, 1]), n)
     share = seen.sum(0) / max(1, seen.sum())
     rate = (seen + SMOOTH * share) / (seen.sum((1, 2), keepdims=True) + SMOOTH)
     model.odds = np.where(share > 0, np.log(np.where(share > 0, rate[1], 1)) - np.log(np.where(share > 0, rate[0], 1)), 0.0)
-    model._cache = {}
-    x = np.array([model.features(c) for c in [*ordinary, *toxic]])
+    leans = model.odds[at[:, 0], at[:, 1]] if len(at) else np.zeros(0)
+    x = np.array([_features(leans[own], n.astype(np.float64)) for docs in (ordinary, toxic) for own, n in zip(docs.windows, docs.counts, strict=True)])
     y = np.r_[np.zeros(len(ordinary)), np.ones(len(toxic))]
     of = np.r_[np.full(len(ordinary), weight), np.ones(len(toxic))]
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
@@ -186,10 +205,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = own.where((F.col("toxic") != 0) == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") <= FIT_CHARS)
-    kinds: dict[bool, list[Counter]] = {True: [], False: []}
+    kinds: dict[bool, list] = {True: [], False: []}
     for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect():
         kinds[r["toxic"] != 0].append((r["doc_id"], r["text"]))
-    kinds = {k: [windows(t) for _, t in sorted(v)] for k, v in kinds.items()}
+    kinds = {k: [t for _, t in sorted(v)] for k, v in kinds.items()}
     weight = there.get(False, 0) / max(1, len(kinds[False])) / max(1.0, there.get(True, 0) / max(1, len(kinds[True])))
     return fit(kinds[True], kinds[False], max(weight, 1e-3))
 
