@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of documents that one Arrow batch carries at most; long texts stay within a worker's memory.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
