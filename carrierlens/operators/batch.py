@@ -76,7 +76,7 @@ def inspect_jsonl(lines: DataFrame, policy: Policy = Policy.BALANCED, limits: Li
     lines: batch_id, ord, line, size. A batch stops before the record that breaks its byte limits, after a line that
     is too long, and at its record limit; stopped says why. Batches without records: give their ids nowhere, see empty().
     """
-    limits = limits or Limits()
+    limits = Limits() if limits is None else limits
     by = Window.partitionBy("batch_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     kept = lines.withColumn("_in", F.sum("size").over(by))
     schema = StructType.fromDDL("batch_id string, ord long, size long, _in long, text string, held string")

@@ -26,7 +26,7 @@ def analyze(docs: DataFrame, text: str = "text", limits: Limits | None = None) -
 
     Null text: error INVALID_TYPE. More characters than the limit: error INPUT_CHAR_LIMIT. Such rows have no verdict.
     """
-    limits = limits or Limits()
+    limits = Limits() if limits is None else limits
     t = F.col(f"`{text}`")
     error = F.when(t.isNull(), F.lit("INVALID_TYPE")).when(F.length(t) > limits.max_chars, F.lit("INPUT_CHAR_LIMIT"))
     out = docs.withColumn("_t", F.when(error.isNull(), t)).withColumn("_n", scan.counts(F.col("_t")))
@@ -73,7 +73,7 @@ def inspect(docs: DataFrame, text: str = "text", policy: Policy = Policy.BALANCE
     held: a reason code where the row was turned down before (its text is not scanned). A null text without one is
     INVALID_TYPE. Only action allow comes with candidate_text, the text as it was.
     """
-    limits = limits or Limits()
+    limits = Limits() if limits is None else limits
     checked(policy, limits)
     t = F.col(f"`{text}`")
     early = F.when(t.isNull(), F.lit("INVALID_TYPE")).when(F.length(t) > limits.max_chars, F.lit("INPUT_CHAR_LIMIT"))
@@ -121,7 +121,7 @@ def inspect(docs: DataFrame, text: str = "text", policy: Policy = Policy.BALANCE
 
 def inspect_binary(docs: DataFrame, content: str = "content", policy: Policy = Policy.BALANCED, limits: Limits | None = None, length: str | None = None, sequences: frozenset[str] | None = None) -> DataFrame:
     """inspect() of a binary column: a byte limit, then strict UTF-8, then the text. length: a column that knows the bytes."""
-    limits = limits or Limits()
+    limits = Limits() if limits is None else limits
     checked(policy, limits)
     raw = F.col(f"`{content}`")
     size = F.col(f"`{length}`") if length else F.octet_length(raw)

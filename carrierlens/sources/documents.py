@@ -24,7 +24,7 @@ def from_bytes(spark: SparkSession, items: list[bytes | None]) -> DataFrame:
 
 def files(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFrame:
     """path, length, content of every file; content is null, and not read, beyond the byte limit."""
-    limits = limits or Limits()
+    limits = Limits() if limits is None else limits
     every = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     fits = every.where(F.col("length") <= limits.max_input_bytes)  # pushed to the scan: larger files are not opened
     large = spark.read.format("binaryFile").load(path).where(F.col("length") > limits.max_input_bytes).select("path", "length")
