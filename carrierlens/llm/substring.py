@@ -40,7 +40,7 @@ _CACHE = {}
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    if len(_CACHE.get(base, ())) < n:
+    if base not in _CACHE or len(_CACHE[base]) < n:
         _CACHE[base] = _powers(base, max(n, 1 << 16))
     return _CACHE[base][:n]
 
