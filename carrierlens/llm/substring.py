@@ -25,7 +25,7 @@ from carrierlens.llm.common import as_batch, mix, small_batches, with_rest
 
 WINDOW = 13
 #: Windows that a task holds at once, about, and windows of one bucket, about.
-CHUNK, BUCKET = 400_000, 600_000
+CHUNK, BUCKET = 600_000, 1_500_000
 _LETTER, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the two polynomials
 
 
@@ -104,13 +104,35 @@ def _unseven(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in the narrowest of 1, 2, 4 and 8 bytes that holds all, behind a byte that says which."""
+    most = int(numbers.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
+
+
+def _ids(docs: np.ndarray) -> bytes:
+    """Ids in rising order, as differences."""
+    return _narrow(np.diff(docs.view(np.uint64), prepend=np.uint64(0))) if len(docs) else _narrow(docs.view(np.uint64))
+
+
+def _unids(raw: bytes) -> np.ndarray:
+    return np.cumsum(_wide(raw), dtype=np.uint64).view(np.int64)
+
+
 def _ask(window: int, buckets: int):
     """Per chunk of documents and bucket: rows of documents, their windows, which of these are asked for, their hashes."""
     kinds = {"bucket": pa.int64(), "doc": pa.binary(), "text_key": pa.binary(), "n": pa.binary(), "asked": pa.binary(), "hashes": pa.binary()}
 
     def flush(docs, keys, hashes):
-        sizes = np.array([len(h) for h in hashes], np.int64)
         docs, keys = np.array(docs, np.int64), np.array(keys, np.int64)
+        by_id = np.argsort(docs.view(np.uint64), kind="stable")
+        docs, keys, hashes = docs[by_id], keys[by_id], [hashes[k] for k in by_id.tolist()]
+        sizes = np.array([len(h) for h in hashes], np.int64)
         h, row = np.concatenate(hashes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)  # equal ids: equal rank
         order = np.lexsort((rank[row], h))
@@ -126,7 +148,7 @@ def _ask(window: int, buckets: int):
             of = order[edges[b] : edges[b + 1]]
             rows, n = np.unique(row[of], return_counts=True)
             asked = ~later[of]
-            for k, v in (("bucket", int(b)), ("doc", docs[rows].tobytes()), ("text_key", keys[rows].tobytes()), ("n", n.astype(np.int32).tobytes()), ("asked", np.packbits(asked).tobytes()), ("hashes", _seven(h[of][asked]))):
+            for k, v in (("bucket", int(b)), ("doc", _ids(docs[rows])), ("text_key", keys[rows].astype("<i4").tobytes()), ("n", _narrow(n)), ("asked", np.packbits(asked).tobytes()), ("hashes", _seven(h[of][asked]))):
                 out[k].append(v)
         return as_batch({k: pa.array(out[k], t) for k, t in kinds.items()})
 
@@ -156,13 +178,13 @@ def _answer(groups: int):
     def run(table: pa.Table) -> pa.Table:
         docs, keys, row, ordinal, hashes, flagged, at = [], [], [], [], [], [], 0
         for r in table.select(["doc", "text_key", "n", "asked", "hashes"]).to_pylist():
-            n = np.frombuffer(r["n"], np.int32).astype(np.int64)
+            n = _wide(r["n"]).astype(np.int64)
             total = int(n.sum())
             asked = np.unpackbits(np.frombuffer(r["asked"], np.uint8), count=total).astype(bool)
             of = np.repeat(np.arange(len(n)), n)
             place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            docs.append(np.frombuffer(r["doc"], np.int64))
-            keys.append(np.frombuffer(r["text_key"], np.int64))
+            docs.append(_unids(r["doc"]))
+            keys.append(np.frombuffer(r["text_key"], "<i4").astype(np.int64))
             row.append((of[asked] + at).astype(np.int32))
             ordinal.append(place[asked].astype(np.int32))
             hashes.append(_unseven(r["hashes"]))
@@ -176,6 +198,7 @@ def _answer(groups: int):
         hit = order[docs[row[order]] != least]
         flagged.append(np.stack([row[hit], ordinal[hit]]))
         row, ordinal = np.concatenate(flagged, axis=1)
+        del order, new, least, hit, h, hashes
         group = (mix(docs.view(np.uint64) ^ keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)[row]
         order = np.lexsort((ordinal, row, group))
         row, ordinal, group = row[order], ordinal[order], group[order]
@@ -261,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows, columns = with_rest(docs, ("doc_id", "long"), ("text", "string"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("text_key"), "text", "_rest")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").cast("long").alias("text_key"), "text", "_rest")
     octets = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(12, -(-octets // (6 * BUCKET)))  # a word and its separator take six bytes or so
     asked = keyed.select("doc", "text_key", "text").mapInArrow(_ask(window, buckets), "bucket long, doc binary, text_key binary, n binary, asked binary, hashes binary")

@@ -1,0 +1,126 @@
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import sentencepiece
+from pyspark.sql import functions as F
+
+from carrierlens.llm import pieces, surrogates, toxicity
+
+
+def docs(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "c") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, score string")
+
+
+ODD = ["", None, " ", "  lead and  two ", "▁ mark ▁▁x", "x" * 3000, "日本語 é 😀\n\t", "a b " * 50, "\x00 nul", "12 34.5"]
+
+
+def model():
+    return pieces.load(public_tokenizers.path(pieces.MODEL))
+
+
+def test_without_dropout_the_pieces_are_the_librarys(sf_dir):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    texts = [t for t in ODD if t and "▁" not in t] + pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()
+    got = pieces.encode_batch(model(), texts, np.zeros(len(texts), np.uint64), rate=0)
+    assert [g.tolist() for g in got] == sp.encode(texts)
+
+
+def test_dropout_is_lossless_seeded_and_varies(spark, sf_dir):
+    df = docs(spark, ODD).select("doc_id", "text").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text"))
+    a = {r.doc_id: r for r in pieces.encode(df).collect()}
+    b = {r.doc_id: r for r in pieces.encode(df.repartition(7)).collect()}
+    c = {r.doc_id: r for r in pieces.encode(df, seed=1).collect()}
+    plain = {r.doc_id: r for r in pieces.encode(df, rate=0).collect()}
+    assert all(r.lossless and r.n_ids == len(r.ids) for rows in (a, c, plain) for r in rows.values())
+    assert all(a[d].ids == b[d].ids for d in a) and sum(a[d].ids != c[d].ids for d in a) > 150 and sum(a[d].n_ids for d in a) > 1.02 * sum(r.n_ids for r in plain.values())
+    one = pieces.encode_batch(model(), ["interesting " * 60], np.zeros(1, np.uint64))[0].tolist()
+    assert len({tuple(x) for x in re.findall(r"\d+", str(one))}) > 3 and pieces.encode(docs(spark, [])).count() == 0
+
+
+def test_heap_and_arrays_agree():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "the", "tion", " ", "  ", "é", "▁", "1"]) for _ in range(60)) for _ in range(60)]
+    keys, m = np.arange(60, dtype=np.uint64), model()
+    old = pieces.LONG
+    try:
+        pieces.LONG = 0
+        by_heap = pieces.encode_batch(m, texts, keys, rate=0.3)
+    finally:
+        pieces.LONG = old
+    assert [x.tolist() for x in by_heap] == [x.tolist() for x in pieces.encode_batch(m, texts, keys, rate=0.3)]
+    assert [pieces.decode(m, x.tolist()) for x in by_heap] == texts
+
+
+PERSONAL = [
+    "mail jo.doe@corp.example.com or JO.DOE@CORP.EXAMPLE.COM, not a@b",
+    "call +1 (603) 555-8791 or 212-555-0100 now",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1111 but 4111111111111112 is none, nor 9777946427004852",
+    'token = "27660c51feb63980dfaee7464f96210544c03fc3" from 10.1.2.3, not 1.2.3.4.5 nor 999.1.1.1',
+    "ssn 123-45-6789 of Mr. John Smith, Frau Müller, Госпожа Иванова and Κύριος Παπαδόπουλος",
+    "",
+    None,
+    "nothing here",
+    "call +1 (603) 555-8791 again, Mr. John Smith",
+]
+
+
+def test_surrogates(spark):
+    rows = {r.doc_id: r for r in surrogates.replace(docs(spark, PERSONAL)).collect()}
+    assert [rows[i].n_replaced for i in range(9)] == [2, 2, 2, 2, 5, 0, 0, 0, 2] and rows[6].text is None and rows[7].text == "nothing here" and rows[0].score == "c"
+    made = {e.value: e.surrogate for r in rows.values() for e in r.entities}
+    assert made["jo.doe@corp.example.com"].upper() == made["JO.DOE@CORP.EXAMPLE.COM"] and re.fullmatch(r"[a-z]{2}\.[a-z]{3}@[a-z]{4}\.example\.(com|net|org)", made["jo.doe@corp.example.com"])
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) 555-\d{4}", made["+1 (603) 555-8791"]) and made["+1 (603) 555-8791"] in rows[1].text and made["+1 (603) 555-8791"] in rows[8].text
+    a, b = made["4111 1111 1111 1111"], made["4111-1111-1111-1111"]
+    assert a.replace(" ", "") == b.replace("-", "") and a[0] == "4" and "4111111111111112 is none, nor 9777946427004852" in rows[2].text
+    digits = [int(c) for c in a if c.isdigit()]
+    assert sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2]) and (sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])) % 10 == 0
+    assert re.fullmatch(r"[0-9a-f]{40}", made["27660c51feb63980dfaee7464f96210544c03fc3"]) and "not 1.2.3.4.5 nor 999.1.1.1" in rows[3].text
+    assert made["Mr. John Smith"].startswith("Mr. ") and made["Mr. John Smith"].split()[1] in surrogates.GIVEN["latin", "m"] and re.fullmatch(r"Госпожа [А-Я][а-я]+", made["Госпожа Иванова"]) and re.fullmatch(r"Κύριος [Α-Ω][α-ω]+", made["Κύριος Παπαδόπουλος"])
+    other = {e.value: e.surrogate for r in surrogates.replace(docs(spark, PERSONAL), key="other").collect() for e in r.entities}
+    assert sum(other[k] != made[k] for k in made) >= len(made) - 1
+
+
+def test_clashes_are_drawn_again(spark, monkeypatch):
+    # surrogates of one digit: ten entities must take ten of them
+    monkeypatch.setattr(surrogates, "surrogate", lambda type_, canon, attempt, key: F.concat(F.lit("s"), (F.pmod(F.xxhash64(canon, attempt), F.lit(20))).cast("string")))
+    entities = spark.createDataFrame([("T", f"e{k}") for k in range(10)] + [("T", "s3")], "type string, canon string")
+    got = surrogates.assign(entities).collect()
+    assert len({r.drawn for r in got}) == 11 and "s3" not in {r.drawn for r in got} and max(r.attempt for r in got) > 0
+
+
+def test_personal_data_of_documents_is_gone(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, after = {r.doc_id: r.text for r in table.collect()}, {r.doc_id: r for r in surrogates.replace(table).collect()}
+    find = lambda t: set(re.findall(r"\w+\.\d\d@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|\b[0-9a-f]{40}\b", t))
+    real = {x for t in before.values() for x in find(t)}
+    assert real and not any(find(r.text) & real for r in after.values())
+    pairs = {(e.value.lower(), e.surrogate.lower()) for r in after.values() for e in r.entities}
+    assert len({v for v, _ in pairs}) == len(pairs) == len({s for _, s in pairs})
+    assert all(after[d].text == t for d, t in before.items() if not after[d].n_replaced)
+    plan = surrogates.replace(table)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas"))
+
+
+def test_toxicity_of_held_out_documents(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    table = spark.read.parquet(f"{big}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.classify(table, labels).join(labels.withColumnRenamed("toxic", "y").drop("quality"), "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.y], [r for r in rows if not r.y]
+    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def test_odd_rows_are_scored(spark):
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    texts = [("fine words all along here " * 5 + ("awful nasty thing " if k % 3 == 0 else "")) for k in range(60)] + ["", None, "!!! 123", "word" * 20_000]
+    rows = toxicity.classify(docs(spark, texts, [*range(60), 100, 101, 102, None]), labels).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 64 and by[100].score == by[101].score == by[102].score and not by[None].held_out and isinstance(by[0].score, float)
+    assert np.mean([by[k].score for k in range(0, 60, 3)]) > np.mean([by[k].score for k in range(1, 60, 3)])
+    assert toxicity.classify(docs(spark, []), labels).count() == 0
+    assert {r.score for r in toxicity.classify(docs(spark, ["a"]), labels.where("toxic = 0")).collect()} == {0.0}
