@@ -95,6 +95,16 @@ def test_links_span_what_all_pairs_span():
     assert roots(len(fps), [(at[a], at[b]) for a, b in linked]) == roots(len(fps), pairs)
 
 
+def test_similar_texts(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
+    copies = [base, base[:10] + ["new"] + base[10:], [*base[:200], "other", *base[201:]], base[:-8]]
+    texts = [*(" ".join(c) for c in copies), *(" ".join(f"v{rng.randint(0, 9999)}" for _ in range(300)) for _ in range(50)), "", None, "", "short"]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(4)] == [0] * 4 and all(got[k] == k for k in range(4, 54)) and got[54] == got[55] == got[56] == 54 and got[57] == 57
+    assert simhash.similar_texts(docs(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + k, 501 + k) for k in range(40)]

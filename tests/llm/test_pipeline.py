@@ -1,9 +1,9 @@
 import re
 
 import corpus_pipeline as pipeline
-from carrierlens.llm import queries, toxicity
+from carrierlens.llm import queries, simhash, toxicity
 from carrierlens.llm.common import read
-from test_duplicates import brute_fingerprint, brute_removal, roots
+from test_duplicates import brute_removal, roots
 
 
 def test_stages(spark, sf_dir):
@@ -22,8 +22,12 @@ def test_stages(spark, sf_dir):
 
     near = pipeline.cut(pipeline.drop_near_copies(spark, kept, sf_dir), "t2")
     ids = sorted(after)
-    fps = np.array([brute_fingerprint(after[d].text, 5) for d in ids], np.uint64)
-    linked = [(i, int(j)) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4)]
+    sketches = np.array([simhash.sketch(after[d].text.encode(), 5) for d in ids])
+    pairs = sketches.view(np.uint16)
+    linked = []
+    for i in range(len(ids)):
+        close = np.bitwise_count(sketches[i] ^ sketches).sum(1, dtype=np.int64) <= simhash.WIDE
+        linked += [(i, int(j)) for j in np.flatnonzero(close & (pairs[i] == pairs).any(1))]
     comp = roots(len(ids), linked)
     left = {r.doc_id: r for r in near.collect()}
     assert near.columns == columns and set(left) == {ids[c] for c in comp}
