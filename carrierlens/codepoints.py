@@ -119,7 +119,8 @@ def carrier(cp: Column) -> Column:
 
 
 def label(cp: Column) -> Column:
-    return F.format_string("U+%04X", cp)
+    digits = F.hex(cp)
+    return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
 
 def dimension(spark: SparkSession) -> DataFrame:

@@ -75,26 +75,23 @@ def read_sequences(path: str) -> frozenset[str]:
 
 
 @lru_cache(maxsize=4)
-def _matcher(sequences: frozenset[str]) -> re.Pattern:
-    """An alternation, longest first, that never falls back to a shorter sequence."""
-    return re.compile("(?>" + "|".join(sorted(map(re.escape, sequences), key=lambda s: (-len(s), s))) + ")")
-
-
-@lru_cache(maxsize=4)
-def _starts(sequences: frozenset[str]) -> frozenset[str]:
-    return frozenset(s[0] for s in sequences)
+def _lookup(sequences: frozenset[str]) -> tuple[re.Pattern, tuple[int, ...]]:
+    """A class of the characters that begin sequences, and the sequences' lengths, longest first."""
+    starts = "".join(re.escape(c) for c in sorted({s[0] for s in sequences}))
+    return re.compile(f"[{starts}]"), tuple(sorted({len(s) for s in sequences}, reverse=True))
 
 
 def emoji(text: str, sequences: frozenset[str]) -> tuple[int, int]:
     """Joiners and tags inside recognised sequences whose neighbours are no carriers."""
     joiners = tags = at = 0
-    match = _matcher(sequences)
-    while m := match.search(text, at):
-        a, b = m.span()
-        if (a and NEIGHBOURS.match(text, a - 1)) or NEIGHBOURS.match(text, b):
+    start, lengths = _lookup(sequences)
+    while m := start.search(text, at):
+        a = m.start()
+        found = next((s for n in lengths if (s := text[a : a + n]) in sequences), "")
+        b = a + len(found)
+        if not found or (a and NEIGHBOURS.match(text, a - 1)) or NEIGHBOURS.match(text, b):
             at = a + 1
             continue
-        found = m.group()
         joiners += found.count(ZWJ)
         tags += sum(C.TAGS[0] <= ord(c) <= C.TAGS[1] for c in found)
         at = b

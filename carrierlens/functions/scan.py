@@ -33,6 +33,8 @@ def foreign_letters(text: Column) -> Column:
 INTEREST = C.runs({*C.NAMES, *range(C.TAGS[0], C.TAGS[1] + 1), *(p for a, b in C.FOREIGN_RANGES for p in range(a, b + 1))})
 #: Texts with at most so many code points of interest are taken apart at these; others character by character.
 SPARSE = 128
+#: Different carriers of a text that are put into words once each.
+FEW = 48
 _CLASSES = {"zero_width": C.runs(C.ZERO_WIDTH), "bidi": C.runs(C.BIDI), "explicit": C.runs(C.EXPLICIT_OVERRIDES), "invisible": C.runs(C.INVISIBLE), "tags": [C.TAGS], "spaces": C.runs(C.SPACES)}
 
 
@@ -156,7 +158,14 @@ def evidence(found: Column, n: Column) -> Column:
         severity = F.when(category == "SUSPICIOUS_WHITESPACE", F.lit("low")).when((category == "INVISIBLE_FORMAT") | ((category == "ZERO_WIDTH") & ~clustered), F.lit("medium")).otherwise(F.lit("high"))
         return F.struct(category.alias("category"), severity.alias("severity"), h["offset"].alias("offset"), F.lit(1).alias("length"), detail.alias("detail"), C.label(cp).alias("codepoints"))
 
-    return F.transform(found, finding).cast(FINDINGS)
+    # a text has few different carriers: each is put into words once, however often it occurs
+    def worded(kinds):
+        words = F.map_from_arrays(F.transform(kinds, lambda k: k["cp"]), F.transform(kinds, finding))
+        return _let(words, lambda w: F.transform(found, lambda h: _let(F.element_at(w, h["cp"]), lambda f: F.struct(f["category"].alias("category"), f["severity"].alias("severity"), h["offset"].alias("offset"), f["length"].alias("length"), f["detail"].alias("detail"), f["codepoints"].alias("codepoints")))))
+
+    kinds = F.array_distinct(F.transform(found, lambda h: F.struct(F.lit(0).alias("offset"), h["cp"].alias("cp"), h["category"].alias("category"))))
+    many = _let(kinds, lambda k: F.when(F.size(k) <= FEW, worded(k)).otherwise(F.transform(found, finding)))
+    return F.when(F.size(found) <= FEW, F.transform(found, finding)).otherwise(many).cast(FINDINGS)
 
 
 def retained(found: Column, most: int) -> Column:
@@ -171,9 +180,11 @@ def retained(found: Column, most: int) -> Column:
                 hard = F.filter(own, lambda h: h["cp"].isin(*C.EXPLICIT_OVERRIDES))
                 own = F.when(F.size(hard) > 0, hard).otherwise(own)
             firsts.append(F.slice(own, 1, 1))
-        firsts = F.concat(*firsts)
-        at = F.transform(firsts, lambda h: h["offset"])
+        # inside a lambda an expression is computed for every element: what stays the same is bound first
+        return _let(F.concat(*firsts), lambda few: _let(F.transform(few, lambda h: h["offset"]), lambda at: filled(all_, few, at)))
+
+    def filled(all_, few, at):
         others = F.filter(F.slice(all_, 1, most + len(C.CATEGORIES)), lambda h: ~F.array_contains(at, h["offset"]))
-        return F.array_sort(F.concat(firsts, F.slice(others, 1, F.lit(most) - F.size(firsts))))
+        return F.array_sort(F.concat(few, F.slice(others, F.lit(1), F.lit(most) - F.size(few))))
 
-    return F.when(F.size(found) <= most, found).otherwise(_let(found, chosen)).cast(HITS)
+    return _let(found, lambda all_: F.when(F.size(all_) <= most, all_).otherwise(chosen(all_))).cast(HITS)

@@ -25,8 +25,14 @@ from carrierlens.sources.sinks import explained
 from carrierlens.streaming import inspection
 
 
+#: Tables up to this size are dealt to all cores after reading: a small file may be a single row group.
+SMALL = 512 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SMALL
+    return df.repartition(spark.sparkContext.defaultParallelism) if small and name in ("documents", "conversations") else df
 
 
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
