@@ -31,7 +31,7 @@ SMALL = 512 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SMALL
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
     return df.repartition(spark.sparkContext.defaultParallelism) if small and name in ("documents", "conversations") else df
 
 
