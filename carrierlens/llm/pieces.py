@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 from carrierlens.llm.common import as_batch, mix, small_batches
 
 MODEL = "piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 2024, 16
+RATE, SEED, VARIANTS = 0.1, 2024, 8
 MARK = "▁"
 #: Words of more characters go through the heap.
 LONG = 48
@@ -277,10 +277,27 @@ def decode(model: Pieces, ids) -> str:
     return out[1:] if model.prefix and out.startswith(" ") else out
 
 
+#: Bytes of texts that are encoded together: the more, the more often a word is encoded once only.
+HELD = 10 << 20
+
+
+def gathered(batches):
+    """Batches joined until they hold HELD bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size or held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()[:1]
+
+
 def _encode(path: str, rate: float, seed: int):
     def run(batches):
         model = load(path)
-        for batch in batches:
+        for batch in gathered(batches):
             texts = batch["text"].to_pylist()
             docs = np.array([0 if d is None else d for d in batch["doc_id"].to_pylist()], np.int64).view(np.uint64)
             ids = encode_batch(model, texts, mix(docs + np.uint64(1)), rate, seed)
