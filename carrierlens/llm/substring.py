@@ -25,7 +25,7 @@ from carrierlens.llm.common import as_batch, mix, small_batches, with_rest
 
 WINDOW = 13
 #: Windows that a task holds at once, about, and windows of one bucket, about.
-CHUNK, BUCKET = 600_000, 1_500_000
+CHUNK, BUCKET = 300_000, 1_000_000
 _LETTER, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the two polynomials
 
 
