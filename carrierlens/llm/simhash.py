@@ -176,8 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide sketches: WORDS fingerprints of 64 bits, of differently mixed shingle hashes. WIDE of their 512 bits is where
-#: a similarity of 0.8 lies on average (16 of 100 bits and a margin of one standard deviation).
+#: Wide sketches: WORDS fingerprints of 64 bits, of differently mixed shingle hashes. Only a test reads them.
 WORDS, WIDE = 8, 84
 _MIXERS = mix(np.arange(1, WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -188,100 +187,170 @@ def sketch(raw: bytes, size: int) -> np.ndarray:
     return np.array([majority(hashes), *(majority(mix(hashes ^ m)) for m in _MIXERS)], np.uint64)
 
 
-def _sketches(size: int):
+#: Texts are near copies if their sets of shingles share 4 of 5 of the union.
+SHARE = (4, 5)
+#: Candidates meet under any of BANDS bands of DEEP minima: of pairs at 0.8, (1 - 0.8 ** 7) ** 64 = 3e-7 never meet.
+BANDS, DEEP = 64, 7
+_TIMES = (mix(np.arange(1, 1 + BANDS * DEEP, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FLIPS = mix(np.arange(1, 1 + BANDS * DEEP, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
+#: Shingles whose minima are taken at once; candidate texts whose sets are compared in one task, about.
+MINIMA, TOGETHER = 512, 1000
+
+
+def shingle_set(raw: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(raw, size))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes: each of DEEP minima of the hashes, differently mixed."""
+    h, least = hashes.astype(np.uint32), np.full(BANDS * DEEP, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), MINIMA):
+        mixed = h[None, at : at + MINIMA] ^ _FLIPS[:, None]
+        mixed *= _TIMES[:, None]
+        np.minimum(least, mixed.min(1), out=least)
+    rows = least.reshape(BANDS, DEEP).astype(np.uint64)
+    keys = mix(np.arange(BANDS, dtype=np.uint64))
+    for d in range(DEEP):
+        keys = mix(keys ^ rows[:, d])
+    return keys
+
+
+def _sets(size: int):
     def run(batches):
         for batch in batches:
-            made = [sketch(t or b"", size).tobytes() for t in batch["text"].cast(pa.binary()).to_pylist()]
-            yield as_batch({"doc_id": batch["doc_id"], "sketch": pa.array(made, pa.binary())})
+            sets = [shingle_set(t or b"", size) for t in batch["text"].cast(pa.binary()).to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            keys = [bands(s).tobytes() if len(s) else b"" for s in sets]
+            yield as_batch({"doc_id": batch["doc_id"], "id": pa.array(ids), "keys": pa.array(keys, pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
 
-def _post_wide(parts: int):
-    """Rows (bucket, postings): every sketch under each pair of neighbouring positional bytes, gathered by bucket."""
+def _post_bands(parts: int):
+    """Rows (bucket, postings): pairs (key, id) of every set under its keys, gathered by bucket of the key."""
 
     def run(batches):
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(-1, 4 * WORDS)
-            raw = rows.view(np.uint8)
-            buckets, blobs = [], []
-            for k in range(rows.shape[1]):
-                part = rows[:, k].astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(edges)):
-                    buckets.append(k * parts + int(p))
-                    blobs.append(raw[order[edges[p] : edges[p + 1]]].tobytes())
-            yield as_batch({"bucket": pa.array(buckets, pa.int64()), "postings": pa.array(blobs, pa.binary())})
+            keys = np.frombuffer(b"".join(batch["keys"].to_pylist()), np.uint64)
+            has = np.array([len(k) > 0 for k in batch["keys"].to_pylist()], bool)
+            ids = np.repeat(batch["id"].to_numpy().view(np.uint64)[has], BANDS)
+            both = np.stack([keys, ids], 1)
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edges))
+            blobs = [both[order[edges[p] : edges[p + 1]]].tobytes() for p in some]
+            yield as_batch({"bucket": pa.array(some, pa.int64()), "postings": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _near(front: np.ndarray, rest: np.ndarray, distance: int) -> np.ndarray:
-    """Which rows of rest are within the bit distance of a row of front."""
-    near, step = np.zeros(len(rest), bool), max(1, (1 << 17) // len(rest))
-    for at in range(0, len(front), step):
-        far = np.flatnonzero(~near)
-        if not len(far):
-            break
-        bits = np.bitwise_count(front[at : at + step, None] ^ rest[None, far]).sum(-1, dtype=np.int32)
-        near[far[(bits <= distance).any(0)]] = True
-    return near
+def _meet(table: pa.Table) -> pa.Table:
+    """Links (smallest, others) of the ids under each key of a bucket."""
+    rows = np.frombuffer(b"".join(table["postings"].to_pylist()), np.uint64).reshape(-1, 2)
+    keys, ids = rows[:, 0], rows[:, 1].view(np.int64)
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    least = np.repeat(ids[first], np.diff(np.r_[first, len(keys)]))
+    pairs = np.unique(np.stack([least, ids], 1)[least != ids], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def _links_wide(parts: int, distance: int):
-    def run(table: pa.Table) -> pa.Table:
-        k = table["bucket"][0].as_py() // parts
-        rows = np.frombuffer(b"".join(table["postings"].to_pylist()), np.uint64).reshape(-1, WORDS)
-        key = rows.view(np.uint16)[:, k]
-        order = np.argsort(key, kind="stable")
-        rows, key = rows[order], key[order]
-        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        a, b = [], []
-        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-            rest = np.arange(start, end)
-            while len(rest) > 1:
-                seed, rest, front = rest[0], rest[1:], rest[:1]
-                while len(front) and len(rest):
-                    near = _near(rows[front], rows[rest], distance)
-                    front, rest = rest[near], rest[~near]
-                    a += [seed] * len(front)
-                    b += front.tolist()
-        ids = mix(rows[:, 0]) if len(rows) else np.empty(0, np.uint64)
-        for w in range(1, WORDS):
-            ids = mix(ids ^ rows[:, w])
-        ids = ids.view(np.int64)
-        return pa.table({"a": pa.array(ids[a] if a else np.empty(0, np.int64)), "b": pa.array(ids[b] if b else np.empty(0, np.int64))})
+def _pack_sets(parts: int):
+    """Rows (bucket, roots, ids, sizes, shingles) of a batch, gathered by bucket of the root."""
+
+    def run(batches):
+        for batch in batches:
+            roots, ids, sets = batch["root"].to_numpy(), batch["id"].to_numpy(), batch["shingles"].to_pylist()
+            part = (mix(roots.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            out = {"bucket": [], "roots": [], "ids": [], "sizes": [], "shingles": []}
+            for p in np.unique(part):
+                own = np.flatnonzero(part == p)
+                out["bucket"].append(int(p))
+                out["roots"].append(roots[own].tobytes())
+                out["ids"].append(ids[own].tobytes())
+                out["sizes"].append(np.array([len(sets[k]) // 8 for k in own], np.int64).tobytes())
+                out["shingles"].append(b"".join([sets[k] for k in own]))
+            yield as_batch({c: pa.array(v, pa.int64() if c == "bucket" else pa.binary()) for c, v in out.items()})
 
     return run
 
 
-def _sketch_ids(batches):
-    for batch in batches:
-        rows = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint64).reshape(-1, WORDS)
-        ids = mix(rows[:, 0])
-        for w in range(1, WORDS):
-            ids = mix(ids ^ rows[:, w])
-        yield as_batch({"doc_id": batch["doc_id"], "sketch": batch["sketch"], "id": pa.array(ids.view(np.int64))})
+def similar(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Which of the sets (one after another in flat, as codes) are near copies of the set `one`; mark: all False."""
+    mark[one] = True
+    shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+    mark[one] = False
+    return SHARE[1] * shared >= SHARE[0] * (len(one) + sizes - shared)
+
 
+def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of distinct sets, not empty, under the exact similarity of every pair."""
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    mark, own = np.zeros(int(codes.max()) + 1, bool), [codes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    out, rest = [], np.arange(len(sets))
+    while len(rest) > 1:
+        seed, rest = rest[0], rest[1:]
+        front = np.array([seed])
+        while len(front) and len(rest):
+            few, many = (front, rest) if len(front) <= len(rest) else (rest, front)
+            far, near = many, np.zeros(len(rest), bool)
+            flat, n = np.concatenate([own[k] for k in far]), sizes[far]
+            for at, k in enumerate(few):
+                hit = similar(own[k], flat, np.cumsum(n) - n, n, mark)
+                if few is rest:
+                    near[at] = hit.any()
+                elif hit.any():  # what is found needs no other look
+                    near[np.searchsorted(rest, far[hit])] = True
+                    flat, far, n = flat[np.repeat(~hit, n)], far[~hit], n[~hit]
+                    if not len(far):
+                        break
+            front, rest = rest[near], rest[~near]
+            out += [(int(seed), int(k)) for k in front]
+    return out
 
-def similar_texts(docs: DataFrame, shingle: int = 5, distance: int = WIDE, name: str = "similar") -> DataFrame:
-    """doc_id, component_id of every row of docs(doc_id, text): components of texts of a similarity of about 0.8 and more.
 
-    Sketches have 512 bits. Two texts meet under a pair of neighbouring positional bytes that they share, and are
-    linked at `distance` or fewer differing bits. Texts of similarity 0.8 share such a pair with a probability of 0.91,
-    those of 0.85 of 0.98; unrelated texts differ in half of the bits and are never linked. component_id: the smallest
-    doc_id reachable. Nulls, empty texts, repeats: as near_duplicates().
+def _verify(table: pa.Table) -> pa.Table:
+    """Exact links within each group of candidates of a bucket."""
+    whole = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+    roots, ids, sizes, flat = whole("roots", np.int64), whole("ids", np.int64), whole("sizes", np.int64), whole("shingles", np.uint64)
+    ends = np.cumsum(sizes)
+    order = np.lexsort((sizes, roots))
+    bounds = np.flatnonzero(np.r_[True, roots[order][1:] != roots[order][:-1], True]) if len(roots) else np.zeros(1, np.int64)
+    a, b = [], []
+    for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+        own = order[start:end]
+        for i, j in linked([flat[ends[k] - sizes[k] : ends[k]] for k in own]):
+            a.append(ids[own[i]])
+            b.append(ids[own[j]])
+    return pa.table({"a": pa.array(np.array(a, np.int64)), "b": pa.array(np.array(b, np.int64))})
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, name: str = "similar") -> DataFrame:
+    """doc_id, component_id of every row of docs(doc_id, text): components of texts of a similarity of 0.8 and more.
+
+    Similarity: what the sets of shingles of two texts share, of their union. Texts that share a band of minima, and all
+    that such pairs connect, are candidates; within such a group the exact sets of all are compared, so nothing below
+    0.8 is linked, and of the pairs at 0.8 and above all are but the 3e-7 (at 0.8; fewer above) without a shared band.
+    A group is compared in one task. component_id: the smallest doc_id reachable. Nulls, empty texts, repeats: as
+    near_duplicates().
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(rows.mapInArrow(_sketches(shingle), "doc_id long, sketch binary").mapInArrow(_sketch_ids, "doc_id long, sketch binary, id long"), "sketches")
-    distinct = cut(rows.select("sketch").distinct(), "sketch")
-    parts = max(1, -(-distinct.count() // (BUCKET // WORDS)))
-    found = distinct.mapInArrow(_post_wide(parts), "bucket long, postings binary").groupBy("bucket").applyInArrow(_links_wide(parts, distance), "a long, b long")
-    roots = components(found, name)
-    drop(distinct)
-    rooted = rows.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rows = cut(rows.mapInArrow(_sets(shingle), "doc_id long, id long, keys binary, shingles binary"), "sets")
+    keys = rows.select("id", "keys").dropDuplicates(["id"])
+    parts = max(1, -(-rows.count() * BANDS // BUCKET))
+    met = components(keys.mapInArrow(_post_bands(parts), "bucket long, postings binary").groupBy("bucket").applyInArrow(_meet, "a long, b long"), f"{name}-met")
+    parts = max(1, -(-met.count() // TOGETHER))
+    candidates = rows.select("id", "shingles").join(met.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
+    packed = candidates.mapInArrow(_pack_sets(parts), "bucket long, roots binary, ids binary, sizes binary, shingles binary")
+    roots = components(packed.groupBy("bucket").applyInArrow(_verify, "a long, b long"), name)
+    rooted = rows.select("doc_id", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = cut(rooted.select("doc_id", F.coalesce("root", "id").alias("root")), "rooted")
+    for old in (rows, met, roots):
+        drop(old)
     smallest = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rooted.join(smallest, "root").select("doc_id", "component_id")

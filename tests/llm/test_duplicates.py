@@ -178,3 +178,28 @@ def test_long_texts_are_hashed_in_parts():
 def test_seven_bytes_and_a_bucket(buckets):
     h = np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64)
     assert (substring._unseven(substring._seven(h)) == h & np.uint64(2**56 - 1)).all() and substring._bucket_of(h, buckets).max() < buckets
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_similar_texts_are_those_of_brute_force(spark):
+    """Pairs on either side of 0.8, chains and a large group: the links are those of the exact shingle similarity."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 99_999)}"
+    texts = []
+    for k in range(150):
+        base = [word() for _ in range(rng.choice([30, 120, 404]))]
+        other = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0.015, 0.032)))):
+            other[at] = word()
+        texts += [" ".join(base), " ".join(other).upper() if k % 7 == 0 else " ".join(other)]
+    texts += [*near_copies(3, 80), "", None, "few words", "few words"]
+    w = [words((t or "").lower()) for t in texts]
+    sets = [frozenset(" ".join(x[i : i + 5]) for i in range(max(1, len(x) - 4))) if x else frozenset() for x in w]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or jaccard(sets[i], sets[j]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs(spark, texts)).collect()}
+    near = [jaccard(sets[2 * k], sets[2 * k + 1]) for k in range(150)]
+    assert sum(0.8 <= s < 0.85 for s in near) > 15 and sum(0.7 < s < 0.8 for s in near) > 15
+    assert [got[k] for k in range(len(texts))] == roots(len(texts), linked)
