@@ -2,12 +2,13 @@
 
 Encoding is SentencePiece's agenda: of all neighbours whose concatenation is a piece, the best scored (then the
 leftmost) pair is taken off the agenda, and merged. With dropout, a candidate taken off is skipped if a keyed hash of
-the seed, the word, its variant and the candidate's place falls below the rate; it comes back only as a new candidate,
-once a neighbour has changed. The hash depends on nothing else, so a seed gives the same pieces on any cluster.
+the seed, the document, the word's position and the candidate's place falls below the rate; it comes back only as a new
+candidate, once a neighbour has changed. The hash depends on nothing else, so a seed gives the same pieces on any cluster.
 
-No piece has a space mark but at its beginning, so a word with the spaces before it is encoded by itself. Each
-occurrence of a word draws one of VARIANTS variants by a keyed hash of document and position; equal words of equal
-variant are encoded once a batch, all of a batch at a time with array operations. Long words go through a heap.
+No piece has a space mark but at its beginning, so a word with the spaces before it is encoded by itself. Every
+occurrence of a word draws for itself. What occurrences share is the work between draws: equal words are in one state
+until their draws differ, and a state's next candidate is found and merged once for all that are in it, all states of a
+batch at a time with array operations. Long words go through a heap, occurrence by occurrence.
 
 Characters without a piece become byte pieces, and so does a literal U+2581, which would otherwise decode to a space:
 decoding gives back every text exactly.
@@ -29,11 +30,13 @@ from pyspark.sql.types import StructType
 from carrierlens.llm.common import as_batch, mix, small_batches
 
 MODEL = "piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 2024, 8
+RATE, SEED = 0.1, 2024
 MARK = "▁"
 #: Words of more characters go through the heap.
 LONG = 48
-NONE = np.int64(1) << np.int64(40)
+#: Bits of a place among the symbols encoded at a time, and the rank of no candidate.
+PLACE = np.int64(24)
+NONE = np.int64(1) << np.int64(38)
 _WORD = re.compile(r" *[^ ]+| +")
 _NORMAL, _BYTE = 1, 6
 
@@ -160,22 +163,34 @@ def _by_heap(model: Pieces, symbols: list[int], key: int, rate: float) -> list[i
     return [s for s, gone in zip(symbols, dead, strict=True) if not gone]
 
 
-def encode_words(model: Pieces, words: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words, one after another, and how many each word has."""
+def encode_words(model: Pieces, words: list[str], which: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all distinct outcomes, one after another, how many each has, and the outcome of each occurrence.
+
+    Occurrence k is of words[which[k]] and draws with keys[k]. A state is a word and what was drawn for it so far.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     symbols = model.symbol[chars]
     symbols = np.where(symbols < 0, -chars.astype(np.int64) - 1, symbols).astype(np.int32)
     firsts = np.cumsum(lengths) - lengths
-    done, owners = [], []
-    for k in np.flatnonzero(lengths > LONG):
-        own = _by_heap(model, symbols[firsts[k] : firsts[k] + lengths[k]].tolist(), int(keys[k]), rate)
-        done.append(np.array(own, np.int32))
-        owners.append(np.full(len(own), k))
-    word = np.repeat(np.arange(len(words)), lengths)
+    outcome, outcomes = np.zeros(len(which), np.int64), 0
+    done, owners = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    plain: dict[int, int] = {}
+    for k in np.flatnonzero(lengths[which] > LONG):
+        w = int(which[k])
+        if rate > 0 or w not in plain:
+            own = _by_heap(model, symbols[firsts[w] : firsts[w] + lengths[w]].tolist(), int(keys[k]), rate)
+            done.append(np.array(own, np.int32))
+            owners.append(np.full(len(own), outcomes))
+            plain[w], outcomes = outcomes, outcomes + 1
+        outcome[k] = plain[w]
+    short = lengths <= LONG
+    word = np.repeat(np.cumsum(short) - 1, lengths)
     start = np.arange(len(chars)) - np.repeat(firsts, lengths)
-    short = np.repeat(lengths <= LONG, lengths)
-    symbols, word, start = symbols[short], word[short], start[short]
+    inside = np.repeat(short, lengths)
+    symbols, word, start = symbols[inside], word[inside], start[inside]
+    live = np.flatnonzero(short[which])
+    state, keys, lengths = (np.cumsum(short) - 1)[which[live]], keys[live], lengths[short]
 
     def ranks(at: np.ndarray) -> None:
         """Candidates that begin at these symbols, anew."""
@@ -189,85 +204,88 @@ def encode_words(model: Pieces, words: list[str], keys: np.ndarray, rate: float)
     rank, made = np.full(len(symbols), NONE), np.full(len(symbols), -1, np.int32)
     ranks(np.arange(len(symbols)))
     while len(symbols):
+        # symbols of a state lie together, states are 0, 1, ... in order
         heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         sizes = np.diff(np.r_[heads, len(word)])
-        first = np.minimum.reduceat((rank << 22) + np.arange(len(rank)), heads)
-        over = (first >> 22) >= NONE
+        first = np.minimum.reduceat((rank << PLACE) + np.arange(len(rank)), heads)
+        over = (first >> PLACE) >= NONE
+        at = first & ((np.int64(1) << PLACE) - 1)
         if over.any():
             out = np.repeat(over, sizes)
+            number = outcomes + np.cumsum(over) - 1
             done.append(symbols[out])
-            owners.append(word[out])
-            keep = ~out
-            at = first[~over] & ((1 << 22) - 1)
-            at = np.cumsum(keep)[at] - 1
-            symbols, word, start, rank, made = symbols[keep], word[keep], start[keep], rank[keep], made[keep]
-        else:
-            at = first & ((1 << 22) - 1)
-        if not len(at):
-            continue
-        own = word[at]
+            owners.append(number[word[out]])
+            ended = over[state]
+            outcome[live[ended]] = number[state[ended]]
+            outcomes += int(over.sum())
+            live, state, keys = live[~ended], state[~ended], keys[~ended]
+        if over.all():
+            break
+        # each occurrence draws for its state's candidate; a state goes on as those that skip it and those that merge it
+        mid = np.minimum(at + 1, len(word) - 1)
         after = np.minimum(at + 2, len(word) - 1)
-        inside = (at + 2 < len(word)) & (word[after] == own)
-        end = np.where(inside, start[after], lengths[own])
-        skip = _dropped(keys[own], start[at], start[at + 1], end, rate) if rate > 0 else np.zeros(len(at), bool)
-        rank[at[skip]] = NONE
-        at = at[~skip]
+        end = np.where((at + 2 < len(word)) & (word[after] == word[at]), start[after], lengths)
+        if rate > 0:
+            drops = _dropped(keys, start[at][state], start[mid][state], end[state], rate)
+        else:
+            drops = np.zeros(len(state), bool)
+        code = 2 * state + drops
+        there = np.zeros(2 * len(heads), bool)
+        there[code] = True
+        goes = np.flatnonzero(there)
+        state = (np.cumsum(there) - 1)[code]
+        origin, skips = goes >> 1, (goes & 1).astype(bool)
+        n = sizes[origin]
+        begins = np.cumsum(n) - n
+        take = np.repeat(heads[origin] - begins, n) + np.arange(int(n.sum()))
+        at, lengths = at[origin] - heads[origin] + begins, lengths[origin]
+        word = np.repeat(np.arange(len(goes)), n)
+        symbols, start, rank, made = symbols[take], start[take], rank[take], made[take]
+        rank[at[skips]] = NONE
+        at = at[~skips]
         symbols[at] = made[at]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         at = np.cumsum(keep)[at] - 1
         symbols, word, start, rank, made = symbols[keep], word[keep], start[keep], rank[keep], made[keep]
-        ranks(np.concatenate([at, at[(at > 0)] - 1]))
-    symbols, owner = np.concatenate(done or [symbols]), np.concatenate(owners or [word])
+        ranks(np.concatenate([at, at[at > 0] - 1]))
+    symbols, owner = np.concatenate(done), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     ids, owner = model.expand(symbols[order], owner[order])
-    return ids.astype(np.int32), np.bincount(owner, minlength=len(words))
+    return ids.astype(np.int32), np.bincount(owner, minlength=outcomes), outcome
 
 
-#: Characters that are encoded at a time; places in a batch take 22 bits.
-CHARS = 1 << 21
+#: Characters of occurrences that are encoded at a time; their states have no more, and places take PLACE bits.
+CHARS = 1 << 22
 
 
-def encode_batch(model: Pieces, texts: list[str | None], doc_keys: np.ndarray, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> list[np.ndarray]:
+def encode_batch(model: Pieces, texts: list[str | None], doc_keys: np.ndarray, rate: float = RATE, seed: int = SEED) -> list[np.ndarray]:
     """The ids of each text; a null text as empty, an empty text without ids."""
     lead = " " if model.prefix else ""
     known: dict[str, int] = {}
-    codes, counts = [], []
+    codes, keyed, counts = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], []
     for text, key in zip(texts, doc_keys, strict=True):
         own = _WORD.findall(lead + text) if text else []
-        at = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own))
-        variant = mix(mix(np.arange(len(own), dtype=np.uint64) ^ np.uint64(seed)) + key) % np.uint64(variants) if rate > 0 else np.zeros(len(own), np.uint64)
-        codes.append(at * variants + variant.astype(np.int64))
+        codes.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own)))
+        keyed.append(mix(mix(np.arange(len(own), dtype=np.uint64) ^ np.uint64(seed)) + key))
         counts.append(len(own))
-    flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
-    distinct, which = np.unique(flat, return_inverse=True)
-    names = list(known)
-    hashed = np.array([_text_hash(w) for w in names], np.uint64)
-    ids, sizes, at = [], [], 0
-    lengths = np.fromiter(map(len, names), np.int64, len(names))[distinct // variants] if len(distinct) else np.empty(0, np.int64)
-    total = np.cumsum(lengths)
-    while at < len(distinct):
+    which, keys, names = np.concatenate(codes), np.concatenate(keyed), list(known)
+    del codes, keyed
+    total = np.cumsum(np.fromiter(map(len, names), np.int64, len(names))[which]) if names else np.empty(0, np.int64)
+    gathered, sizes, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+    while at < len(which):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHARS)))
-        part = distinct[at:end]
-        keys = mix(hashed[part // variants] + mix((part % variants).astype(np.uint64) ^ np.uint64(seed)))
-        i, n = encode_words(model, [names[k] for k in (part // variants).tolist()], keys, rate)
-        ids.append(i)
+        distinct, part = np.unique(which[at:end], return_inverse=True)
+        ids, many, outcome = encode_words(model, [names[k] for k in distinct.tolist()], part, keys[at:end], rate)
+        # every occurrence takes its outcome's ids
+        n = many[outcome]
+        starts = np.cumsum(n) - n
+        gathered.append(ids[np.repeat((np.cumsum(many) - many)[outcome] - starts, n) + np.arange(int(n.sum()))])
         sizes.append(n)
         at = end
-    ids, sizes = (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.empty(0, np.int32), np.empty(0, np.int64))
-    firsts = np.cumsum(sizes) - sizes
-    # every occurrence takes its word's ids
-    n = sizes[which]
-    starts = np.cumsum(n) - n
-    gathered = ids[np.repeat(firsts[which] - starts, n) + np.arange(int(n.sum()))]
-    bounds = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts)].astype(np.int64)]
-    return [gathered[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def _text_hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word.encode())
+    flat = np.concatenate(gathered)
+    bounds = np.r_[0, np.cumsum(np.concatenate(sizes))][np.r_[0, np.cumsum(counts)].astype(np.int64)]
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def decode(model: Pieces, ids) -> str:

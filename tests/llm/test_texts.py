@@ -124,3 +124,22 @@ def test_odd_rows_are_scored(spark):
     assert np.mean([by[k].score for k in range(0, 60, 3)]) > np.mean([by[k].score for k in range(1, 60, 3)])
     assert toxicity.classify(docs(spark, []), labels).count() == 0
     assert {r.score for r in toxicity.classify(docs(spark, ["a"]), labels.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_every_occurrence_draws_anew():
+    """Segmentations of a word are not bounded by a number of variants, and fall as often as the rate says."""
+    n, m = 20_000, model()
+    got = pieces.encode_batch(m, [" ".join(["interesting"] * n)], np.zeros(1, np.uint64))[0]
+    words, own = [], []
+    for i in got.tolist():
+        if own and m.raw[i].startswith(b" "):
+            words.append(tuple(own))
+            own = []
+        own.append(i)
+    words.append(tuple(own))
+    assert len(words) == n and len(set(words)) > 20
+    # an agenda of its own for each occurrence gives the same ids
+    chars = m.symbol[np.frombuffer(" interesting".encode("utf-32-le"), np.uint32)].tolist()
+    keys = pieces.mix(pieces.mix(np.arange(n, dtype=np.uint64) ^ np.uint64(pieces.SEED)))
+    for k in range(0, n, 40):
+        assert tuple(pieces._by_heap(m, list(chars), int(keys[k]), pieces.RATE)) == words[k]
