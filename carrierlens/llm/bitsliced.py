@@ -18,8 +18,8 @@ from carrierlens.llm.blocks import best, clean, meet, packed
 from carrierlens.llm.common import as_batch
 
 SCALE, TOP, EVERY = 256, 5, 50
-#: Components are held within this range, so that sums stay far inside 64 bits.
-LIMIT = 1 << 20
+#: Quantised components of this size and more, and scores beyond 64 bits, are an error: they have no exact result.
+LIMIT = 1 << 62
 ROWS, QUERIES = 16_384, 512
 
 
@@ -88,13 +88,31 @@ def top(sums: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([chosen, at(tied)[: max(0, k - len(chosen))]])
 
 
+def whole(raw: bytes, dims: int) -> np.ndarray:
+    """Quantised vectors as rows of integers."""
+    values = np.frombuffer(raw, np.float64).reshape(-1, dims)
+    if (np.abs(values) >= LIMIT).any():
+        raise OverflowError(f"a component beyond +-{LIMIT // SCALE} has no exact score")
+    return values.astype(np.int64)
+
+
+def scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; by Python's integers where 64 bits might not hold a sum on the way."""
+    bound = sum(int(v) * int(q) for v, q in zip(np.abs(values).max(0, initial=0), np.abs(query), strict=True))
+    if bound < 1 << 63:
+        return values @ query
+    exact = [sum(map(int.__mul__, row, query.tolist())) for row in values.tolist()]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in exact):
+        raise OverflowError("a score is beyond 64 bits")
+    return np.array(exact, np.int64)
+
+
 def _search(dims: int, k: int):
     def run(batches):
         for batch in batches:
             for r in batch.select(["ids", "values", "q_ids", "q_values"]).to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
-                values = np.frombuffer(r["values"], np.float64).reshape(-1, dims).astype(np.int64)
-                queries = np.frombuffer(r["q_values"], np.float64).reshape(-1, dims).astype(np.int64)
+                values, queries = whole(r["values"], dims), whole(r["q_values"], dims)
                 planes, bits = slices(values)
                 everyone = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
                 everyone = np.concatenate([everyone, np.zeros(planes.shape[1] * 8 - len(everyone), np.uint8)]).view(np.uint64)
@@ -106,7 +124,7 @@ def _search(dims: int, k: int):
                     found = top(add(planes, bits, query), allowed, k)
                     out["query_id"].append(np.full(len(found), q))
                     out["vec_id"].append(ids[found])
-                    out["score"].append(values[found] @ query)
+                    out["score"].append(scores(values[found], query))
                 yield as_batch({c: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for c, v in out.items()})
 
     return run
@@ -115,14 +133,13 @@ def _search(dims: int, k: int):
 def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query with vectors(vec_id, embedding).
 
-    Components are floor(256 x), held within +-2^20. Queries are the rows whose vec_id is divisible by `every`, each
+    Components are floor(256 x); one of 2^62 or more, or a score beyond 64 bits, raises an error. Queries are the rows whose vec_id is divisible by `every`, each
     against all rows but those with its own vec_id. Ties go to the smaller vec_id. Vectors that are null or hold null or
     non-finite components, and rows without an id, take no part; shorter vectors are filled up with zeros. A query's
     row that repeats is asked once. Fewer candidates than k: all of them. No rows: no rows. Other columns are not read.
     """
     rows = clean(vectors)
-    limit = float(LIMIT)
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(x * SCALE).cast("double")))))
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
     candidates, many = packed(rows, ROWS, dims, "slices")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])

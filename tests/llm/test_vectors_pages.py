@@ -1,3 +1,4 @@
+import math
 import base64
 import gzip
 import hashlib
@@ -139,3 +140,26 @@ def test_broken_streams_are_refused():
     for bad in (whole[:-20], gzip.compress(b"".join(crawl(5))[:-3]), gzip.compress(b"HTTP/1.1 200\r\n\r\n")):
         with pytest.raises((ValueError, zlib.error)):
             warc.normalise(io.BytesIO(bad), io.BytesIO(), io.BytesIO())
+
+
+def test_large_components_are_exact(spark):
+    """Vectors far from unit length keep their values, order and scores; what has no exact score raises."""
+    rng = np.random.default_rng(4)
+    size = 10.0 ** rng.integers(0, 9, (150, 1))
+    table = rng.normal(size=(150, 12)) * size
+    table[3], table[4], table[0] = 5000.0, 6000.0, 1.0
+    rows = [(k, v.tolist()) for k, v in enumerate(table)]
+    frame = lambda own: spark.createDataFrame(own, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in bitsliced.top_inner_products(frame(rows)).orderBy("query_id", "rank").collect()]
+    whole = [[math.floor(256 * x) for x in v] for _, v in rows]
+    want = []
+    for q in range(0, 150, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[k], strict=True)), k) for k in range(150) if k != q)[:5]
+        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert got == want
+    # products above 64 bits that cancel out are exact still
+    near = frame([(0, [2.0**30, 2.0**30, 1.0]), (1, [2.0**30, -(2.0**30), 3.0])])
+    assert [r.score for r in bitsliced.top_inner_products(near).collect()] == [3 * 256 * 256]
+    for x in (1e300, 1e17, 2.0**31):  # too large a component, and too large a score
+        with pytest.raises(Exception, match="beyond"):
+            bitsliced.top_inner_products(frame([(0, [x, 1.0]), (1, [x, 2.0])])).collect()
