@@ -1,6 +1,7 @@
 """Personal data and secrets, replaced by keyed surrogates. DataFrame and SQL functions only.
 
-Detection is one alternation of patterns; card numbers must also pass their check digit. Every distinct entity of the
+Detection is one alternation of patterns; card numbers must also pass their check digit. A run of numbers that is no
+card as a whole is searched for cards between its separators, from the left, the longest first. Every distinct entity of the
 corpus gets one surrogate, drawn from a keyed hash of its type, canonical form and attempt number: digits become
 digits, letters letters of the same case, separators stay, cards keep their first digit and a valid check digit, mail
 goes to reserved domains, addresses to a reserved block, names to names of the same script and gender. The table of
@@ -23,20 +24,22 @@ ROUNDS = 40
 
 #: Patterns by type, in order of precedence. Runs are possessive and start at a boundary, so a long text costs one pass.
 PATTERNS = {
-    "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{2,24})",
+    "EMAIL": r"(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "SECRET": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?=[a-fA-F]{0,63}[0-9])(?=[0-9]{0,63}[a-fA-F])[0-9a-fA-F]{32,64}+)(?![A-Za-z0-9])",
     "IP": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9])(?!\.[0-9])",
     "PHONE": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])(?!-[0-9])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "CARD": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "CARD": r"(?<![0-9])(?=4|(?:5[ -]?[1-5]|2[ -]?[2-7]|3[ -]?[457]|6[ -]?(?:0[ -]?1[ -]?1|5)))[0-9](?:(?:[ -](?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])))?[0-9]){12,}+",
     "NAME": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(PATTERNS.values())
 #: What every entity has, for a cheap first look.
 HINT = r"[0-9@]|(?:M(?:r|iss|onsieur|adame|s)|Sir|Herr|Frau|Señora?|Господин|Госпожа|Κύριος|Κυρία)[.s]* \p{Lu}"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Госпожа|Κυρία)"
-#: Prefixes of card numbers in use.
-ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"
+#: Prefixes of card numbers in use, and how many digits they have.
+ISSUER = r"^(?=[0-9]{13,19}$)(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"
+#: How a card is written that stands beside other numbers.
+SHAPE = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 
 #: Given names by script and gender, and syllables of family names by script.
 GIVEN = {
@@ -54,14 +57,45 @@ SYLLABLES = {
 }
 
 
+def _card(value: Column) -> Column:
+    """Whether the digits of value are those of a card."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return digits.rlike(ISSUER) & F.call_function("luhn_check", digits)
+
+
+def split_cards(token: Column) -> Column:
+    """The parts of a match: itself, or the cards in a run of numbers and what lies between them."""
+    def parts(runs: Column) -> Column:
+        join = lambda i, n: F.array_join(F.slice(runs, i, n), "")
+        span = lambda i, j: F.regexp_replace(join(i, j - i + 1), "[ -]$", "")
+        ours = lambda i, j: span(i, j).rlike(SHAPE) & _card(span(i, j))
+        last = lambda i: F.array_max(F.filter(F.sequence(i, F.least(i + 4, F.size(runs))), lambda j: ours(i, j)))
+        spans = F.filter(F.transform(F.sequence(F.lit(1), F.size(runs)), lambda i: F.struct(i.alias("a"), last(i).alias("b"))), lambda x: x["b"].isNotNull())
+        apart = lambda chosen, x: F.when(F.coalesce(F.try_element_at(chosen, F.lit(-1))["b"] < x["a"], F.lit(True)), F.concat(chosen, F.array(x))).otherwise(chosen)
+        return _once(F.aggregate(spans, F.array().cast("array<struct<a:int,b:int>>"), apart), lambda chosen: between(join, span, runs, chosen))
+
+    def between(join, span, runs: Column, chosen: Column) -> Column:
+        after = lambda k: F.coalesce(F.try_element_at(chosen, k)["b"], F.lit(0)) + 1
+        before = lambda x, k: join(F.when(k == 0, F.lit(1)).otherwise(after(F.greatest(k, F.lit(1)))), x["a"] - F.when(k == 0, F.lit(1)).otherwise(after(F.greatest(k, F.lit(1)))))
+        each = F.flatten(F.transform(chosen, lambda x, k: F.array(before(x, k), span(x["a"], x["b"]), F.regexp_extract(F.element_at(runs, x["b"]), "[ -]?$", 0))))
+        return F.concat(each, F.array(join(after(F.lit(-1)), F.size(runs))))
+
+    runs = F.regexp_extract_all(token, F.lit("[0-9]+[ -]?"), 0)
+    return F.when(token.rlike(rf"\A(?:{PATTERNS['CARD']})\z") & ~_card(token), _once(runs, parts)).otherwise(F.array(token))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def kind(value: Column) -> Column:
     """The type of a match: the first pattern that takes the whole of it. Null for numbers that are no card."""
     out = None
     for name, pattern in PATTERNS.items():
         ours = value.rlike(rf"\A(?:{pattern})\z")
         if name == "CARD":
-            digits = F.regexp_replace(value, "[^0-9]", "")
-            ours = ours & digits.rlike(ISSUER) & F.call_function("luhn_check", digits)
+            ours = ours & _card(value)
         out = F.when(ours, F.lit(name)) if out is None else out.when(ours, F.lit(name))
     return out
 
@@ -171,7 +205,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     empty = F.array().cast("array<struct<type:string,value:string,surrogate:string>>")
     tokens = F.regexp_extract_all("text", F.lit(ANY), 0)
     text_key = F.xxhash64("text", F.octet_length("text"))
-    found = rows.where(some).select(text_key.alias("_key"), F.explode(F.array_distinct(tokens)).alias("value"))
+    found = rows.where(some).select(text_key.alias("_key"), F.explode(F.array_distinct(F.flatten(F.transform(tokens, split_cards)))).alias("value"))
     found = found.select("_key", "value", kind(F.col("value")).alias("type")).where("type is not null").distinct()
     found = cut(found.withColumn("canon", canonical(F.col("type"), F.col("value"))), "mentions")
     drawn = assign(found.select("type", "canon").distinct(), key)
@@ -180,9 +214,10 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     touched = rows.where(some).withColumn("_key", text_key).join(mapped, "_key", "left")
     lookup = F.map_from_arrays(F.transform("_entities", lambda e: e["value"]), F.transform("_entities", lambda e: e["surrogate"]))
     gaps = F.split("text", ANY, -1)
-    pieces = F.zip_with(gaps, tokens, lambda g, t: F.concat(g, F.coalesce(F.element_at(F.col("_map"), t), t, F.lit(""))))
-    many = F.size(F.filter(tokens, lambda t: F.map_contains_key(F.col("_map"), t)))
-    touched = touched.withColumn("_map", lookup)
+    replaced = lambda t: F.array_join(F.transform(t, lambda p: F.coalesce(F.element_at(F.col("_map"), p), p)), "")
+    pieces = F.zip_with(gaps, "_parts", lambda g, t: F.concat(g, F.coalesce(replaced(t), F.lit(""))))
+    many = F.size(F.filter(F.flatten("_parts"), lambda p: F.map_contains_key(F.col("_map"), p)))
+    touched = touched.withColumn("_map", lookup).withColumn("_parts", F.transform(tokens, split_cards))
     touched = touched.withColumn("n_replaced", F.when(F.col("_map").isNull(), F.lit(0)).otherwise(many)).withColumn("text", F.when(F.col("_map").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")))
     touched = touched.select(*columns, "n_replaced", F.coalesce("_entities", empty).alias("entities"))
     return rows.where(~some).select(*columns, F.lit(0).alias("n_replaced"), empty.alias("entities")).unionByName(touched)

@@ -143,3 +143,29 @@ def test_every_occurrence_draws_anew():
     keys = pieces.mix(pieces.mix(np.arange(n, dtype=np.uint64) ^ np.uint64(pieces.SEED)))
     for k in range(0, n, 40):
         assert tuple(pieces._by_heap(m, list(chars), int(keys[k]), pieces.RATE)) == words[k]
+
+
+def test_entities_beside_other_text_are_found(spark):
+    """What follows or precedes an entity does not hide it."""
+    hidden = {
+        "write bob@example.com-based or": "bob@example.com",
+        "bob@example.com.2024": "bob@example.com",
+        "see ...bob@mail.example.com.": "bob@mail.example.com",
+        "a..bob@example.com, bob@example.com_x": "bob@example.com",
+        "card 4111 1111 1111 1111 123": "4111 1111 1111 1111",
+        "card 4111111111111111 09/27": "4111111111111111",
+        "card 12 4111-1111-1111-1111 and": "4111-1111-1111-1111",
+        "45 99 4111 1111 1111 1111 7": "4111 1111 1111 1111",
+        "amex 3782 822463 10005 1234": "3782 822463 10005",
+        "4 4111111111111111 5500 0000 0000 0004 99": "5500 0000 0000 0004",
+        "45 123-45-6789 1234": "123-45-6789",
+    }
+    rows = surrogates.replace(docs(spark, list(hidden))).collect()
+    for r, (text, entity) in zip(sorted(rows, key=lambda r: r.doc_id), hidden.items(), strict=True):
+        made = {e.value: e.surrogate for e in r.entities}
+        assert entity in made and entity not in r.text, text
+        for value, surrogate in made.items():
+            text = text.replace(value, surrogate)
+        assert r.text == text
+    plain = ["sum 4111 1111 1111 1112 12", "4 5 6 3 2 1 4 5 6 3 2 1 9 4 4 " * 400, "a." * 50_000 + "b@" + "c." * 50_000, "9 " * 50_000, "bob@example.c0m"]
+    assert [r.text for r in sorted(surrogates.replace(docs(spark, plain)).collect(), key=lambda r: r.doc_id)][:1] == plain[:1]
