@@ -34,7 +34,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: What every entity has, for a cheap first look.
-HINT = r"[0-9@]|(?:M(?:r|iss|onsieur|adame|s)|Sir|Herr|Frau|Señora?|Господин|Госпожа|Κύριος|Κυρία)[.s]* \p{Lu}"
+HINT = r"[0-9@]|AKIA|gh[pousr]_|(?:M(?:r|iss|onsieur|adame|s)|Sir|Herr|Frau|Señora?|Господин|Госпожа|Κύριος|Κυρία)[.s]* \p{Lu}"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Госпожа|Κυρία)"
 #: Prefixes of card numbers in use, and how many digits they have.
 ISSUER = r"^(?=[0-9]{13,19}$)(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"
