@@ -26,18 +26,22 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own, in local mode only."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = f"file://{tempfile.mkdtemp(prefix='carrierlens-')}"
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/carrierlens-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is still there when the driver ends is deleted then."""
+    path = f"{shared_dir(spark)}/carrierlens-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
