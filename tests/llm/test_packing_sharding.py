@@ -21,10 +21,47 @@ def test_ids_are_those_of_the_tokenizer_file(sf_dir):
 
     path = public_tokenizers.path(packing.TOKENIZER)
     theirs = Tokenizer.from_file(path)
-    for t in [*ODD, *pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()[:60]]:
+    for t in [*ODD, *pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()]:
         assert packing.encode(t, path).tolist() == [*theirs.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + " " * 700_000 + "b\n" + "\n" * 300_000, "x" * 300_000, "\t \n" * 200_000, "é" * 100_000])
+def test_long_runs_have_the_ids_of_the_tokenizer_file(text):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    assert packing.encode(text, path).tolist()[:-1] == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def fewest(items, capacity):
+    """The least number of bins, by trying every placement."""
+    best, items = len(items), sorted(items, reverse=True)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for j, room in enumerate(rooms):
+            if room >= items[k] and room not in rooms[:j]:
+                place(k + 1, [*rooms[:j], room - items[k], *rooms[j + 1 :]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plan_beside_the_best_of_all_placements():
+    rng, extra = random.Random(4), 0
+    for _ in range(300):
+        capacity = rng.choice([10, 24, 60])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        used = max(first + n for _, _, n, first, _ in packing.plan(dict(Counter(items)), capacity))
+        assert fewest(items, capacity) <= used <= fewest(items, capacity) + 1
+        extra += used - fewest(items, capacity)
+    assert extra <= 15
+
+
 def check_packed(rows, texts, capacity=packing.CAPACITY):
     path = public_tokenizers.path(packing.TOKENIZER)
     by_doc = {}
@@ -130,8 +167,39 @@ def test_odd_rows_are_sharded(spark):
     assert sharding.shard_by_bytes(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 800, [7] * 800, [7] * 800 + list(range(1000, 1100))])
+def test_rows_that_repeat_are_shared_out(spark, ids):
+    rows = sharding.shard_by_bytes(docs(spark, ["same text"] * 800 + [f"other {k}" for k in range(len(ids) - 800)], ids)).collect()
+    sizes = shards(rows)
+    mean = sum(sizes.values()) / 8
+    assert len(rows) == len(ids) and len(sizes) == 8 and max(abs(v - mean) for v in sizes.values()) <= 0.02 * mean + 20
+
+
+def test_splitters_are_those_of_sorted_rows(spark):
+    """Beside bytes summed over sorted rows: each splitter is within the tolerance, or at the nearest edge there is."""
+    rng = random.Random(6)
+    texts = [f"t{rng.randint(0, 400)} " * rng.randint(1, 40) for _ in range(3000)]
+    rows = sharding.cut(sharding.keyed(docs(spark, texts)), "t")
+    every = sorted((r.k1, r.k2, r.k3, r.size) for r in rows.collect())
+    total = sum(r[3] for r in every)
+    found = sharding.splitters(rows, 64, 8)
+    assert found == sorted(found) and len(found) == 63
+    for k, splitter in enumerate(found, 1):
+        want, below = total * k / 64, sum(r[3] for r in every if r[:3] < splitter)
+        edges, at = [0], 0
+        for r in every:
+            at += r[3]
+            edges.append(at)
+        nearest = min(abs(e - want) for e in edges)
+        assert abs(below - want) <= max(nearest, sharding.GROUP_TOLERANCE * total / 8) + 1e-6
+    counted = Counter(r.p for r in rows.select(sharding.part_of(found).alias("p")).collect())
+    assert counted == Counter(sum(s <= r[:3] for s in found) for r in every)
+
+
 def test_order_of_signed_keys():
     assert sharding._bound(10, 0) == -(2**63) and sharding._bound(10, 1 << 10) is None and sharding._bound(64, 2**63) == 0
+    most, least = 2**63 - 1, -(2**63)
+    assert sharding._splitter((5, most), None) == (6, least, least) and sharding._splitter((most, most), None) == (most,) * 3
 
 
 def test_no_python_in_the_plan(spark, sf_dir):
