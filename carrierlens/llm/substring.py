@@ -2,18 +2,22 @@
 
 1. Each task hashes every window of its documents with a rolling polynomial and settles repeats among its own
    documents, so a passage that a third of the corpus shares leaves a task once. What is left goes to hash buckets as
-   packed arrays: seven bytes a window, with no positions, in the order of the documents.
+   packed arrays: eight bytes a window, with no positions, in the order of the documents.
 2. Each bucket finds, for every hash, the smallest document that has it, and answers with the windows (by their order
    in document and bucket) of larger documents, packed by groups of documents; the groups turn these into one row for
    each document that loses words.
 3. Documents meet their rows, hash their windows again, and the repeated windows merge into maximal intervals.
 
-Two windows count as equal if their 64-bit hashes are (56 bits are sent; the bucket, of other bits, tells the rest).
+Words are numbered by keyed 128-bit digests and windows hashed modulo 2^61 - 1, twice, with different bases: one hash is
+sent, the other tells the bucket. Windows count as equal if both the hash sent and the bucket are, some 61 bits and the
+logarithm of the number of buckets, which grows with the corpus: any false match has a chance of about 1e-5 at 0.5 GB,
+1e-3 at 30 GB. No text is known for which it is larger, as nobody without the key can choose a word's number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,82 +30,91 @@ from carrierlens.llm.common import as_batch, mix, small_batches, with_rest
 WINDOW = 13
 #: Windows that a task holds at once, about, and windows of one bucket, about.
 CHUNK, BUCKET = 300_000, 1_000_000
-_LETTER, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the two polynomials
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+#: Arithmetic is modulo this prime; the bases of the two hashes are below 2^29, so that no product leaves 64 bits.
+PRIME = np.uint64((1 << 61) - 1)
+BASES = (0x1B873593, 0x165667B1)
+#: Words are numbered by keyed digests. So many of them, and bytes of them, are remembered.
+KEY = b"substring-dedup"
+WORDS, WORD_BYTES = 1 << 18, 1 << 24
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_PART = 1 << 18
 
 
-_INVERSE = pow(_LETTER, -1, 1 << 64)
-_CACHE = {}
+class _Known(dict):
+    """Places of words in the table of their digests."""
 
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = place = len(self)
+        return place
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    if base not in _CACHE or len(_CACHE[base]) < n:
-        _CACHE[base] = _powers(base, max(n, 1 << 16))
-    return _CACHE[base][:n]
 
+class Words:
+    """Two numbers modulo PRIME for each word, from a keyed BLAKE2b digest of its bytes."""
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_PART = 1 << 18
+    def __init__(self, key: bytes = KEY):
+        self.key = key
+        self.clear()
 
+    def clear(self) -> None:
+        self.known, self.digests, self.bytes = _Known(), np.empty((0, 2), np.uint64), 0
+        self.known.new = []
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word, by differences of one polynomial prefix sum; long texts part by part."""
-    if len(raw) > 2 * _PART:
-        out, at = [], 0
+    def hashes(self, raw: bytes) -> np.ndarray:
+        """A row of two numbers for every word of a text; long texts part by part."""
+        out, at = [np.empty((0, 2), np.uint64)], 0
         while at < len(raw):
-            end = at + _PART
-            # a part ends at a separator, so no word is cut
-            while end < len(raw) and not _SPACE[raw[end]]:
-                end += 1
-            out.append(word_hashes(raw[at:end]) if end - at <= 2 * _PART else _one_part(raw[at:end]))
+            found = _SPACE.search(raw, at + _PART)  # a part ends at a separator, so no word is cut
+            end = found.start() if found else len(raw)
+            out.append(self._part(raw[at:end].split()))
             at = end
-        return np.concatenate(out)
-    return _one_part(raw)
-
-
-def _one_part(raw: bytes) -> np.ndarray:
-    letters = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(letters) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[letters]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * _power_table(_LETTER, len(letters)), out=sums[1:])
-    raw_hash = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(letters) + 1)[starts]
-    return mix(raw_hash ^ ((ends - starts).astype(np.uint64) * np.uint64(_WORD)))
-
-
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """The Rabin-Karp hash of every run of `window` word hashes: H(i+1) = (H(i) - w(i) B^(n-1)) B + w(i+n), unrolled."""
+        return out[1] if len(out) == 2 else np.concatenate(out)
+
+    def _part(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.new:
+            made = b"".join([hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in known.new])
+            self.digests = np.concatenate([self.digests, np.frombuffer(made, "<u8").reshape(-1, 2) % PRIME])
+            self.bytes += sum(map(len, known.new))
+            known.new = []
+        out = self.digests[places]
+        if len(known) > WORDS or self.bytes > WORD_BYTES:
+            self.clear()
+        return out
+
+
+def window_hashes(words: np.ndarray, window: int, base: int) -> np.ndarray:
+    """The Rabin-Karp hash modulo PRIME of every run of `window` numbers: H(i+1) = (H(i) - w(i) B^(n-1)) B + w(i+n), unrolled."""
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    b, low, shift = np.uint64(base), np.uint64(0xFFFFFFFF), np.uint64
     out = words[:n].copy()
     for k in range(1, window):
-        out *= np.uint64(_WORD)
+        high = (out >> shift(32)) * b  # times 2^32, which is folded at 2^61
+        out &= low
+        out *= b
+        out += ((high << shift(32)) & PRIME) + (high >> shift(29))
         out += words[k : k + n]
-    return mix(out)
+        out = (out & PRIME) + (out >> shift(61))
+    return np.where(out >= PRIME, out - PRIME, out)
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    # the top byte, which is not sent, comes last here: its remainder stays in the bucket's number
-    return (((hashes << np.uint64(8)) | (hashes >> np.uint64(56))) % np.uint64(buckets)).astype(np.int64)
+def _sent(numbers: np.ndarray, window: int) -> np.ndarray:
+    """The hash of every window that is sent."""
+    return mix(window_hashes(numbers[:, 0], window, BASES[0]))
 
 
-def _seven(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def _dealt(numbers: np.ndarray, window: int) -> np.ndarray:
+    """The hash of every window that its bucket is told by."""
+    return mix(window_hashes(numbers[:, 1], window, BASES[1]))
 
 
-def _unseven(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
+def _bucket_of(dealt: np.ndarray, buckets: int) -> np.ndarray:
+    return (dealt % np.uint64(buckets)).astype(np.int64)
 
 
 def _narrow(numbers: np.ndarray) -> bytes:
@@ -132,15 +145,16 @@ def _ask(window: int, buckets: int):
         docs, keys = np.array(docs, np.int64), np.array(keys, np.int64)
         by_id = np.argsort(docs.view(np.uint64), kind="stable")
         docs, keys, hashes = docs[by_id], keys[by_id], [hashes[k] for k in by_id.tolist()]
-        sizes = np.array([len(h) for h in hashes], np.int64)
-        h, row = np.concatenate(hashes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        sizes = np.array([len(h) for h, _ in hashes], np.int64)
+        h, dealt = (np.concatenate([pair[k] for pair in hashes]) for k in (0, 1))
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)  # equal ids: equal rank
         order = np.lexsort((rank[row], h))
-        new = np.r_[True, h[order][1:] != h[order][:-1]]
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (dealt[order][1:] != dealt[order][:-1])]
         least = rank[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
         later = np.empty(len(h), bool)
         later[order] = rank[row[order]] != least
-        bucket = _bucket_of(h, buckets)
+        bucket = _bucket_of(dealt, buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = {k: [] for k in kinds}
@@ -148,21 +162,21 @@ def _ask(window: int, buckets: int):
             of = order[edges[b] : edges[b + 1]]
             rows, n = np.unique(row[of], return_counts=True)
             asked = ~later[of]
-            for k, v in (("bucket", int(b)), ("doc", _ids(docs[rows])), ("text_key", keys[rows].astype("<i4").tobytes()), ("n", _narrow(n)), ("asked", np.packbits(asked).tobytes()), ("hashes", _seven(h[of][asked]))):
+            for k, v in (("bucket", int(b)), ("doc", _ids(docs[rows])), ("text_key", _narrow(keys[rows])), ("n", _narrow(n)), ("asked", np.packbits(asked).tobytes()), ("hashes", h[of][asked].astype("<u8").tobytes())):
                 out[k].append(v)
         return as_batch({k: pa.array(out[k], t) for k, t in kinds.items()})
 
     def run(batches):
-        docs, keys, hashes, held = [], [], [], 0
+        docs, keys, hashes, held, known = [], [], [], 0, Words()
         for batch in batches:
             texts = batch["text"].cast(pa.binary()).to_pylist()
             for doc, key, raw in zip(batch["doc"].to_pylist(), batch["text_key"].to_pylist(), texts, strict=True):
-                h = window_hashes(word_hashes(raw or b""), window)
-                if len(h):
+                numbers = known.hashes(raw or b"")
+                if len(numbers) >= window:
                     docs.append(doc)
                     keys.append(key)
-                    hashes.append(h)
-                    held += len(h)
+                    hashes.append((_sent(numbers, window), _dealt(numbers, window)))
+                    held += len(hashes[-1][0])
                 if held >= CHUNK:
                     yield flush(docs, keys, hashes)
                     docs, keys, hashes, held = [], [], [], 0
@@ -184,10 +198,10 @@ def _answer(groups: int):
             of = np.repeat(np.arange(len(n)), n)
             place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
             docs.append(_unids(r["doc"]))
-            keys.append(np.frombuffer(r["text_key"], "<i4").astype(np.int64))
+            keys.append(_wide(r["text_key"]).astype(np.int64))
             row.append((of[asked] + at).astype(np.int32))
             ordinal.append(place[asked].astype(np.int32))
-            hashes.append(_unseven(r["hashes"]))
+            hashes.append(np.frombuffer(r["hashes"], "<u8"))
             # what the task has settled itself
             flagged.append(np.stack([of[~asked] + at, place[~asked]]).astype(np.int32))
             at += len(n)
@@ -208,7 +222,7 @@ def _answer(groups: int):
         for g in np.flatnonzero(np.diff(edges)):
             a, b = edges[g], edges[g + 1]
             rows, n = np.unique(row[a:b], return_counts=True)
-            for k, v in (("to", int(g)), ("bucket", bucket), ("doc", docs[rows].tobytes()), ("text_key", keys[rows].tobytes()), ("n", n.astype(np.int32).tobytes()), ("places", ordinal[a:b].tobytes())):
+            for k, v in (("to", int(g)), ("bucket", bucket), ("doc", docs[rows].tobytes()), ("text_key", _narrow(keys[rows])), ("n", _narrow(n)), ("places", _narrow(ordinal[a:b]))):
                 out[k].append(v)
         return pa.table({k: pa.array(v, pa.int64() if k in ("to", "bucket") else pa.binary()) for k, v in out.items()})
 
@@ -219,10 +233,10 @@ def _gather(table: pa.Table) -> pa.Table:
     """For one group of documents: a row for each that loses windows, with their buckets and places."""
     docs, keys, buckets, places = [], [], [], []
     for r in table.to_pylist():
-        n = np.frombuffer(r["n"], np.int32)
+        n = _wide(r["n"]).astype(np.int64)
         docs.append(np.repeat(np.frombuffer(r["doc"], np.int64), n))
-        keys.append(np.repeat(np.frombuffer(r["text_key"], np.int64), n))
-        places.append(np.frombuffer(r["places"], np.int32))
+        keys.append(np.repeat(_wide(r["text_key"]).astype(np.int64), n))
+        places.append(_wide(r["places"]).astype(np.int32))
         buckets.append(np.full(len(places[-1]), r["bucket"], np.int32))
     docs, keys, buckets, places = map(np.concatenate, (docs, keys, buckets, places))
     order = np.lexsort((keys, docs))
@@ -233,13 +247,13 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"doc": docs[first], "text_key": keys[first], "buckets": pa.array([buckets[a:b].tobytes() for a, b in spans], pa.binary()), "places": pa.array([places[a:b].tobytes() for a, b in spans], pa.binary())})
 
 
-def covered(hashes: np.ndarray, at_buckets: np.ndarray, places: np.ndarray, buckets: int, window: int) -> np.ndarray:
+def covered(dealt: np.ndarray, at_buckets: np.ndarray, places: np.ndarray, buckets: int, window: int) -> np.ndarray:
     """Which words of a document lie in a repeated window: the maximal removal intervals, as a mask over its words."""
-    bucket = _bucket_of(hashes, buckets)
+    bucket = _bucket_of(dealt, buckets)
     order = np.argsort(bucket, kind="stable")
-    first = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    at = np.unique(order[first[at_buckets] + places])
-    change = np.zeros(len(hashes) + window, np.int32)
+    first = np.searchsorted(bucket[order], at_buckets)
+    at = np.unique(order[first + places])
+    change = np.zeros(len(dealt) + window, np.int32)
     change[at] += 1
     change[at + window] -= 1
     return np.cumsum(change[:-1]) > 0
@@ -255,6 +269,7 @@ def _remove(window: int, buckets: int):
     kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int64())), "kept": pa.string()}
 
     def run(batches):
+        known = Words()
         for batch in batches:
             out = {k: [] for k in kinds}
             texts = batch["text"].cast(pa.binary()).to_pylist()
@@ -262,8 +277,7 @@ def _remove(window: int, buckets: int):
                 words = (raw or b"").split()
                 spans, n = [], len(words)
                 if places:
-                    hashes = window_hashes(word_hashes(raw), window)
-                    mask = covered(hashes, np.frombuffer(at, np.int32), np.frombuffer(places, np.int32), buckets, window)
+                    mask = covered(_dealt(known.hashes(raw), window), np.frombuffer(at, np.int32), np.frombuffer(places, np.int32), buckets, window)
                     spans = intervals(mask)
                     words = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
                 kept = b" ".join(words)
@@ -284,7 +298,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows, columns = with_rest(docs, ("doc_id", "long"), ("text", "string"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").cast("long").alias("text_key"), "text", "_rest")
+    # texts tell rows of one id apart; where no id repeats, none is sent
+    repeated = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    text_key = F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1)) if repeated else F.lit(0).cast("long")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), text_key.alias("text_key"), "text", "_rest")
     octets = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(12, -(-octets // (6 * BUCKET)))  # a word and its separator take six bytes or so
     asked = keyed.select("doc", "text_key", "text").mapInArrow(_ask(window, buckets), "bucket long, doc binary, text_key binary, n binary, asked binary, hashes binary")

@@ -169,15 +169,38 @@ def test_few_rows(spark):
 
 def test_long_texts_are_hashed_in_parts():
     raw = b" ".join(b"w%d" % (k % 977) for k in range(200_000))
-    whole = substring._one_part(raw)
-    assert (substring.word_hashes(raw) == whole).all() and len(whole) == 200_000
-    assert len(substring.word_hashes(b"x" * 1_500_000 + b" y")) == 2 and len(substring.word_hashes(b"")) == 0
-
-
-@pytest.mark.parametrize("buckets", [1, 12, 300])
-def test_seven_bytes_and_a_bucket(buckets):
-    h = np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64)
-    assert (substring._unseven(substring._seven(h)) == h & np.uint64(2**56 - 1)).all() and substring._bucket_of(h, buckets).max() < buckets
+    whole = substring.Words()._part(raw.split())
+    assert (substring.Words().hashes(raw) == whole).all() and len(whole) == 200_000
+    assert len(substring.Words().hashes(b"x" * 1_500_000 + b" y")) == 2 and len(substring.Words().hashes(b"")) == 0
+
+
+def test_forgotten_words_keep_their_numbers(monkeypatch):
+    raw = b" ".join(b"w%d" % (k % 977) for k in range(5_000))
+    want = substring.Words().hashes(raw)
+    monkeypatch.setattr(substring, "WORDS", 100)
+    monkeypatch.setattr(substring, "_PART", 1000)
+    known = substring.Words()
+    assert (known.hashes(raw) == want).all() and (known.hashes(raw) == want).all() and len(known.known) < 400
+
+
+@pytest.mark.parametrize("window", [1, 2, 13, 40])
+def test_window_hashes_are_polynomials_modulo_the_prime(window):
+    prime, rng = 2**61 - 1, np.random.default_rng(0)
+    numbers = np.r_[rng.integers(0, prime, 200, dtype=np.uint64), np.full(50, prime - 1, np.uint64), np.zeros(50, np.uint64)]
+    for base in substring.BASES:
+        got = substring.window_hashes(numbers, window, base).tolist()
+        w = numbers.tolist()
+        assert got == [sum(w[i + k] * pow(base, window - 1 - k, prime) for k in range(window)) % prime for i in range(len(w) - window + 1)]
+    assert len(substring.window_hashes(numbers[:3], 4, 5)) == 0
+
+
+def test_words_that_differ_as_thue_and_morse_have_them_stay(spark):
+    """Letters in the order of the Thue-Morse sequence and of its complement have equal polynomials modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    start = " ".join(f"w{k}" for k in range(12))
+    got = held(spark, [(1, f"{start} {one}"), (2, f"{start} {other}"), (3, f"{start} {one}")])
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 13}
 
 
 def jaccard(a, b):
