@@ -1,21 +1,19 @@
 """Toxicity by compression distance: how much better a text's windows compress beside toxic than beside ordinary text.
 
-A bounded, documented sample of labelled documents trains zstandard dictionaries with the library's own trainer: a
-base and an ordinary one on windows of ordinary documents, a toxic one on windows of toxic documents. A window is a run
-of whole words of WINDOW bytes and more. Most windows of a toxic document are ordinary, so the toxic dictionary is
-trained in rounds: each half of the toxic documents has its windows compressed beside the dictionaries of the other
-half, and the windows that the toxic one shortens most train the next round (no window is judged by its own content).
-Both sides of the comparison hold the base, then their own dictionary, then a fixed run of bytes that every window ends
-with, so that a short window is compressed and not stored.
-
-The difference of the two compressed lengths of a window has a log-odds in the sample; sums of these over a document's
-windows are its features, and a logistic curve over them, fitted on the sample, calibrates the score. Labels hold noise,
-so the log-odds are counted anew with each toxic document weighted by its score. Scoring reads whole texts.
+A bounded, documented sample of labelled documents trains two zstandard dictionaries: the toxic one from the word
+stems that toxic documents favour, the ordinary one from the most frequent words of the others. Both are raw-content
+dictionaries filled by coverage, best content last, where matches are cheapest: with dictionaries by the library's own
+trainer the held-out recall was lower in every form tried (README). A window is a word with its
+separators, followed by a fixed run of bytes that both dictionaries hold, so that even a short window is compressed
+and not stored. The pair of compressed lengths of a window (beside the ordinary, beside the toxic dictionary) has a
+log-odds in the sample; the windows of a document that lean to toxic add up, and a logistic curve over these sums
+calibrates the score. Scoring reads whole texts; equal windows of a task are compressed once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,74 +27,33 @@ from carrierlens.llm.common import as_batch, small_batches, with_rest
 
 THRESHOLD = 0.7
 #: Bounds of the sample that is fitted, in documents of each kind; longer texts than FIT_CHARS are not fitted on.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1_000, 2_000, 20_000
-#: Bytes of a window at least, and of a part of a longer word.
-WINDOW, LONGEST = 64, 256
-#: Bytes of the base, of a side's dictionary in the first round and after it; the trainer's segments and matches.
-BASE_BYTES, FIRST_BYTES, OWN_BYTES = 1 << 16, 1 << 13, 3 << 10
-SEGMENT, MATCH = 16, 8
-#: Rounds of training, and the share of a half's windows that goes on to the next.
-ROUNDS, SHARE = 4, 0.08
-LEVEL, LEAST_MATCH = 13, 4
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2_000, 5_000, 20_000
+TOXIC_BYTES, ORDINARY_BYTES = 1_500, 8_192
+#: A stem is favoured if it is in this share of toxic documents and so many times likelier there.
+SHARE, LIFT = 0.03, 6.0
 CARRIER = bytes(range(128, 192))
-#: Differences of compressed lengths that are told apart; smoothing of their counts; turns of weighing the labels.
-LOW, HIGH, SMOOTH, TURNS = -12, 16, 20.0, 2
+#: Compressed lengths are told apart below LENGTHS; windows lean to toxic from this log-odds on.
+LENGTHS, LEAN, SMOOTH = 32, 1.5, 50.0
+CACHE = 300_000
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def windows(text: str | None) -> list[bytes]:
-    """The windows of a whole text, lower-cased, one after another: whole words until WINDOW bytes are reached."""
-    out, held, size = [], [], 0
-    for word in _NO_LETTERS.sub(" ", (text or "").lower()).encode().split():
-        for part in [word] if len(word) <= LONGEST else [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]:
-            held.append(part)
-            size += len(part) + 1
-            if size >= WINDOW:
-                out.append(b" " + b" ".join(held) + b" " + CARRIER)
-                held, size = [], 0
-    if held:
-        out.append(b" " + b" ".join(held) + b" " + CARRIER)
-    return out
-
-
-def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """What zstandard's trainer makes of the samples; of too few for it, their last bytes as they are."""
-    samples = [s.removesuffix(CARRIER) for s in samples]
-    try:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
+def windows(text: str | None) -> Counter:
+    """The windows of a whole text, lower-cased, with their counts."""
+    return Counter(_NO_LETTERS.sub(" ", (text or "").lower()).encode().split())
 
-def lengths(dictionary: bytes, texts: list[bytes]) -> np.ndarray:
-    """The compressed lengths of windows beside a dictionary."""
-    compress = _compressor(dictionary)
-    return np.fromiter((len(compress(t)) for t in texts), np.int64, len(texts))
 
-
-def _compressor(dictionary: bytes):
-    options = {"min_match": LEAST_MATCH, "write_checksum": False, "write_content_size": False, "write_dict_id": False, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
-    held = zstandard.ZstdCompressionDict(dictionary + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(dict_data=held, compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, **options)).compress
-
-
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """The dictionaries of the two sides, ordinary and toxic, from the windows of each document."""
-    flat = [w for doc in ordinary for w in doc]
-    order = np.random.default_rng(0).permutation(len(flat))
-    many = sum(map(len, toxic))
-    split = max(len(flat) // 2, len(flat) - max(many, 1))
-    rest, own = [flat[k] for k in order[:split]], [flat[k] for k in order[split:]]
-    base = train_dictionary(rest, BASE_BYTES)
-    halves = [[w for doc in toxic[k::2] for w in doc] for k in (0, 1)]
-    chosen, size = halves, FIRST_BYTES
-    for _ in range(ROUNDS - 1):
-        beside = base + train_dictionary(own, size)
-        sides = [base + train_dictionary(c, size) for c in chosen]
-        gains = [lengths(beside, h) - lengths(sides[1 - k], h) for k, h in enumerate(halves)]
-        chosen = [[w for w, g in zip(h, gain, strict=True) if g >= max(2, np.quantile(gain, 1 - SHARE))] if len(h) else h for h, gain in zip(halves, gains, strict=True)]
-        size = OWN_BYTES
-    return base + train_dictionary(own, size), base + train_dictionary([w for c in chosen for w in c], size)
+def _dictionary(segments: Counter, size: int) -> bytes:
+    """Content of at most size bytes, by weight times length; what other content holds is not repeated; the best comes last."""
+    kept, held, used = [], b"", 0
+    for s, n in sorted(segments.items(), key=lambda x: (-x[1] * len(x[0]), x[0])):
+        if s in held:
+            continue
+        if used + len(s) > size:
+            break
+        kept.append(s)
+        held, used = held + b"\x00" + s, used + len(s)
+    return b"".join(reversed(kept))
 
 
 @dataclass
@@ -113,76 +70,125 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def ready(self) -> None:
-        self._beside_ordinary, self._beside_toxic = _compressor(self.ordinary), _compressor(self.toxic)
+        options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
+        make = lambda raw: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters.from_level(3, min_match=3, **options)).compress
+        self._beside_ordinary, self._beside_toxic, self._cache = make(self.ordinary), make(self.toxic), {}
+
+    def lengths(self, window: bytes) -> tuple[int, int]:
+        w = b" " + window + b" " + CARRIER
+        return min(len(self._beside_ordinary(w)), LENGTHS - 1), min(len(self._beside_toxic(w)), LENGTHS - 1)
+
+    def lean(self, window: bytes) -> float:
+        got = self._cache.get(window)
+        if got is None:
+            if len(self._cache) >= CACHE:
+                self._cache.clear()
+            got = float(self.odds[self.lengths(window)])
+            if len(window) < 100:
+                self._cache[window] = got
+        return got
+
+    def features(self, counts: Counter) -> tuple[float, ...]:
+        leans = np.fromiter((self.lean(w) for w in counts), np.float64, len(counts))
+        return _features(leans, np.fromiter(counts.values(), np.float64, len(counts)))
+
+    def score(self, counts: Counter) -> float:
+        if self.constant is not None:
+            return self.constant
+        x = (np.array(self.features(counts)) - self.mean) / self.scale
+        z = float(self.weights[0] + x @ self.weights[1:])
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    def gains(self, texts: list[bytes]) -> np.ndarray:
-        """How many bytes the toxic dictionary saves over the ordinary one, by window, as places in odds."""
-        one, other = self._beside_ordinary, self._beside_toxic
-        found = np.fromiter((len(one(t)) - len(other(t)) for t in texts), np.int64, len(texts))
-        return np.clip(found, LOW, HIGH) - LOW
 
-    def score_features(self, x: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + ((x - self.mean) / self.scale) @ self.weights[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+def _features(leans: np.ndarray, counts: np.ndarray) -> tuple[float, ...]:
+    total = max(1.0, counts.sum())
+    towards, away = float(counts @ np.where(leans > LEAN, leans, 0.0)), float(counts @ leans)
+    return towards / total**0.5, 100 * towards / total, np.log1p(towards), np.log(total), away / total**0.5
 
-    def score(self, text: str | None) -> float:
-        if self.constant is not None:
-            return self.constant
-        return float(self.score_features(_features(self.gains(windows(text)), self.odds)))
 
+class Sample:
+    """Documents of one kind as numbers of their windows in a shared list, with counts."""
 
-def _features(gains: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Of a document's windows: the largest gains, the sum of the log-odds, and that of those that lean to toxic."""
-    n = len(gains)
-    if not n:
-        return np.zeros(7)
-    top, own = np.sort(gains)[::-1] + LOW, odds[gains]
-    lean = own[own > 1].sum()
-    return np.array([top[:2].mean(), top[:4].mean(), own.sum() / n**0.5, lean / n**0.5, 10 * lean / n, np.log1p(lean), np.log(n)])
+    def __init__(self, texts, known: dict[bytes, int]):
+        self.windows, self.counts = [], []
+        for text in texts:
+            c = windows(text)
+            self.windows.append(np.fromiter((known.setdefault(w, len(known)) for w in c), np.int32, len(c)))
+            self.counts.append(np.fromiter(c.values(), np.int32, len(c)))
 
+    def __len__(self):
+        return len(self.windows)
 
-def _log_odds(gains: list[np.ndarray], of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The log-odds of each gain; `of` weighs the documents."""
-    seen = np.zeros((2, HIGH - LOW + 1))
-    for x, w, y in zip(gains, of, toxic, strict=True):
-        np.add.at(seen[int(y)], x, w)
-    share = seen.sum(0) / max(1e-9, seen.sum())
-    rate = (seen + SMOOTH * share) / (seen.sum(1, keepdims=True) + SMOOTH)
-    return np.where(share > 0, np.log(np.maximum(rate[1], 1e-9)) - np.log(np.maximum(rate[0], 1e-9)), 0.0)
+    def documents_with(self, numbers: np.ndarray) -> np.ndarray:
+        """In how many documents each of the numbers (one for each window; negative: none) occurs."""
+        out = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
+        for own in self.windows:
+            n = numbers[own]
+            out[np.unique(n[n >= 0])] += 1
+        return out
 
 
-def _logistic(model: Model, x: np.ndarray, y: np.ndarray, of: np.ndarray) -> None:
-    """Weights by Newton's method with a small ridge."""
+SHORTEST, LONGEST = 5, 12
+
+
+def _favoured(padded: list[bytes], toxic: Sample, ordinary: Sample) -> set[bytes]:
+    """Beginnings of windows that enough toxic documents have, and few others; longer ones only of frequent shorter ones."""
+    out: set[bytes] = set()
+    frequent = None
+    for n in range(SHORTEST, LONGEST + 1):
+        stems: dict[bytes, int] = {}
+        numbers = np.fromiter((stems.setdefault(w[:n], len(stems)) if len(w) >= n and (frequent is None or w[: n - 1] in frequent) else -1 for w in padded), np.int64, len(padded))
+        in_toxic, in_ordinary = toxic.documents_with(numbers), ordinary.documents_with(numbers)
+        frequent = {s for s, k in stems.items() if in_toxic[k] >= max(2, SHARE * len(toxic))}
+        out |= {s for s in frequent if in_toxic[stems[s]] / len(toxic) >= LIFT * (in_ordinary[stems[s]] + 1) / (len(ordinary) + 1)}
+    return out
+
+
+def fit(toxic_texts: list[str], ordinary_texts: list[str], weight: float = 1.0) -> Model:
+    """A model of both kinds of texts; weight: how many ordinary documents each of those given stands for."""
+    if not toxic_texts or not ordinary_texts:
+        none = np.zeros(0)
+        return Model(b"", b"", none, none, none, none, constant=1.0 if toxic_texts else 0.0)
+    known: dict[bytes, int] = {}
+    toxic, ordinary = Sample(toxic_texts, known), Sample(ordinary_texts, known)
+    padded = [b" " + w + b" " for w in known]
+    favoured = _favoured(padded, toxic, ordinary)
+    each = np.arange(len(padded))
+    in_toxic, in_ordinary = toxic.documents_with(each), ordinary.documents_with(each)
+    stems, common = Counter(), Counter()
+    for k in np.flatnonzero(in_toxic).tolist():
+        w = padded[k]
+        longest = next((s for n in range(min(LONGEST, len(w)), SHORTEST - 1, -1) if (s := w[:n]) in favoured), None)
+        if longest:
+            stems[longest] += int(in_toxic[k])
+    for k in np.flatnonzero(in_ordinary > 1).tolist():
+        common[padded[k]] = int(in_ordinary[k])
+    model = Model(_dictionary(common, ORDINARY_BYTES), _dictionary(stems, TOXIC_BYTES), np.zeros((LENGTHS, LENGTHS)), np.zeros(5), np.ones(5), np.zeros(6))
+    model.ready()
+    at = np.array([model.lengths(w) for w in known], np.int64).reshape(-1, 2)
+    seen = np.zeros((2, LENGTHS, LENGTHS))
+    for y, docs in enumerate((ordinary, toxic)):
+        for own, n in zip(docs.windows, docs.counts, strict=True):
+            np.add.at(seen[y], (at[own, 0], at[own, 1]), n)
+    share = seen.sum(0) / max(1, seen.sum())
+    rate = (seen + SMOOTH * share) / (seen.sum((1, 2), keepdims=True) + SMOOTH)
+    model.odds = np.where(share > 0, np.log(np.where(share > 0, rate[1], 1)) - np.log(np.where(share > 0, rate[0], 1)), 0.0)
+    leans = model.odds[at[:, 0], at[:, 1]] if len(at) else np.zeros(0)
+    x = np.array([_features(leans[own], n.astype(np.float64)) for docs in (ordinary, toxic) for own, n in zip(docs.windows, docs.counts, strict=True)])
+    y = np.r_[np.zeros(len(ordinary)), np.ones(len(toxic))]
+    of = np.r_[np.full(len(ordinary), weight), np.ones(len(toxic))]
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     x = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     w = np.zeros(x.shape[1])
-    for _ in range(60):
+    for _ in range(60):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         slope = x.T @ (of * (y - p)) - 0.1 * w
-        step = np.linalg.solve((x * (of * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), slope)
+        curve = (x * (of * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     model.weights = w
-
-
-def fit(toxic_texts: list[str], ordinary_texts: list[str], weight: float = 1.0) -> Model:
-    """A model of both kinds of texts; weight: how many ordinary documents each of those given stands for."""
-    none = np.zeros(0)
-    if not toxic_texts or not ordinary_texts:
-        return Model(b"", b"", none, none, none, none, constant=1.0 if toxic_texts else 0.0)
-    toxic, ordinary = [windows(t) for t in toxic_texts], [windows(t) for t in ordinary_texts]
-    model = Model(*dictionaries(toxic, ordinary), none, none, none, none)
-    model.ready()
-    gains = [model.gains(doc) for doc in (*ordinary, *toxic)]
-    y = np.r_[np.zeros(len(ordinary)), np.ones(len(toxic))]
-    of = np.where(y == 1, 1.0, weight)
-    seen = np.ones(len(y))
-    for turn in range(TURNS + 1):
-        model.odds = _log_odds(gains, seen, y)
-        x = np.array([_features(g, model.odds) for g in gains])
-        _logistic(model, x, y, of)
-        seen = np.where(y == 1, model.score_features(x), 1.0)
     return model
 
 
@@ -202,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") <= FIT_CHARS)
     texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     kinds: dict[bool, list] = {True: [], False: []}
-    for r in texts.collect():  # a text for each id: at most FIT_TOXIC + FIT_ORDINARY rows of FIT_CHARS characters
+    for r in texts.collect():  # a text for each id: at most FIT_TOXIC + FIT_ORDINARY of FIT_CHARS characters
         kinds[r["toxic"] != 0].append((r["doc_id"], r["text"]))
     kinds = {k: [t for _, t in sorted(v)] for k, v in kinds.items()}
     weight = there.get(False, 0) / max(1, len(kinds[False])) / max(1.0, there.get(True, 0) / max(1, len(kinds[True])))
@@ -214,7 +220,7 @@ def _score(model: Model):
         if model.constant is None:
             model.ready()
         for batch in batches:
-            scores = [model.score(t) for t in batch["text"].to_pylist()]
+            scores = [model.score(windows(t)) for t in batch["text"].to_pylist()]
             yield as_batch({n: batch[n] for n in batch.schema.names} | {"score": pa.array(scores, pa.float64())})
 
     return run
