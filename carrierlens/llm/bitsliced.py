@@ -1,10 +1,11 @@
 """Exact top-k inner products over a bit-sliced index.
 
-The index of a block holds, for every quantised attribute, one bitmap over the block's rows for each bit. A query adds
+The index of a block, built once, holds for every quantised attribute one bitmap over the block's rows for each bit. A query adds
 the slices with bitmap arithmetic only: each set bit of a weight sends the attribute's slices to a column of weights
 (their complements for a negative weight, which shifts all sums by a constant), and carry-save adders reduce every
 column to one slice of the sum. The top rows are then read off the sum from its most significant slice downward; rows
-that tie at the boundary are the smaller vec_ids, and the rows chosen get their exact integer score.
+that tie at the boundary are the smaller vec_ids, and the rows chosen get their exact integer score. A task keeps the
+best of its blocks only, and of these what reaches the k-th best score of a sample of rows.
 """
 
 from __future__ import annotations
@@ -14,17 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carrierlens.llm.blocks import best, clean, meet, packed
-from carrierlens.llm.common import as_batch
+from carrierlens.llm.blocks import Best, best, clean, packed, sample, searched
+from carrierlens.llm.common import as_batch, drop
 
 SCALE, TOP, EVERY = 256, 5, 50
 #: Quantised components of this size and more, and scores beyond 64 bits, are an error: they have no exact result.
 LIMIT = 1 << 62
-ROWS, QUERIES = 16_384, 512
+ROWS = 16_384
 
 
-def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """Bitmaps (attribute, bit) over the rows of an integer matrix, in offset binary, then their complements; and the bits."""
+def planes_of(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bitmaps (attribute, bit) over the rows of an integer matrix, in offset binary; and the bits."""
     bits = int(max(1, np.abs(values).max(initial=0))).bit_length() + 1
     shifted = (values + (1 << (bits - 1))).astype(np.uint64)
     words = -(-len(values) // 64)
@@ -32,8 +33,17 @@ def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
     for b in range(bits):
         part = np.packbits(((shifted >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
         out[:, b, : part.shape[1]] = part
-    planes = out.reshape(-1, words * 8).view(np.uint64)
-    return np.concatenate([planes, ~planes]), bits
+    return out.reshape(-1, words * 8).view(np.uint64), bits
+
+
+def with_complements(planes: np.ndarray) -> np.ndarray:
+    return np.concatenate([planes, ~planes])
+
+
+def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """What add() reads of an integer matrix: its bitmaps, then their complements; and the bits."""
+    planes, bits = planes_of(values)
+    return with_complements(planes), bits
 
 
 def add(planes: np.ndarray, bits: int, query: np.ndarray) -> list[np.ndarray]:
@@ -88,9 +98,8 @@ def top(sums: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([chosen, at(tied)[: max(0, k - len(chosen))]])
 
 
-def whole(raw: bytes, dims: int) -> np.ndarray:
+def whole(values: np.ndarray) -> np.ndarray:
     """Quantised vectors as rows of integers."""
-    values = np.frombuffer(raw, np.float64).reshape(-1, dims)
     if (np.abs(values) >= LIMIT).any():
         raise OverflowError(f"a component beyond +-{LIMIT // SCALE} has no exact score")
     return values.astype(np.int64)
@@ -107,27 +116,42 @@ def scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array(exact, np.int64)
 
 
-def _search(dims: int, k: int):
-    def run(batches):
+def _index(ids: np.ndarray, values: np.ndarray) -> dict:
+    values = whole(values)
+    planes, bits = planes_of(values)
+    return {"ids": ids.tobytes(), "bits": bits, "planes": planes.tobytes(), "values": values.tobytes()}
+
+
+class _Search:
+    """The k best rows of each query over the blocks of a task."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, dims: int, k: int, some: tuple[np.ndarray, np.ndarray]):
+        self.ids, self.values, self.dims, self.k = ids, whole(values), dims, k
+        self.least = [self._least(q, v, some[0], whole(some[1])) for q, v in zip(self.ids, self.values, strict=True)]
+
+    def _least(self, q: int, query: np.ndarray, ids: np.ndarray, values: np.ndarray) -> int:
+        """The k-th best score among some rows."""
+        others = values[ids != q]
+        return int(np.sort(scores(others, query))[-self.k]) if len(others) >= self.k else -(1 << 63)
+
+    def __call__(self, batches):
+        kept = Best(len(self.ids), self.k, np.int64)
         for batch in batches:
-            for r in batch.select(["ids", "values", "q_ids", "q_values"]).to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                values, queries = whole(r["values"], dims), whole(r["q_values"], dims)
-                planes, bits = slices(values)
+            for r in batch.to_pylist():
+                ids, values = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["values"], np.int64).reshape(-1, self.dims)
+                planes = with_complements(np.frombuffer(r["planes"], np.uint64).reshape(self.dims * r["bits"], -1))
                 everyone = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
                 everyone = np.concatenate([everyone, np.zeros(planes.shape[1] * 8 - len(everyone), np.uint8)]).view(np.uint64)
-                out = {"query_id": [], "vec_id": [], "score": []}
-                for q, query in zip(np.frombuffer(r["q_ids"], np.int64), queries, strict=True):
+                for n, (q, query) in enumerate(zip(self.ids, self.values, strict=True)):
                     allowed = everyone.copy()
                     for own in range(np.searchsorted(ids, q), np.searchsorted(ids, q, "right")):
                         allowed[own // 64] &= ~np.uint64(1 << (own % 64))
-                    found = top(add(planes, bits, query), allowed, k)
-                    out["query_id"].append(np.full(len(found), q))
-                    out["vec_id"].append(ids[found])
-                    out["score"].append(scores(values[found], query))
-                yield as_batch({c: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64()) for c, v in out.items()})
-
-    return run
+                    found = top(add(planes, r["bits"], query), allowed, self.k)
+                    score = scores(values[found], query)
+                    reach = score >= self.least[n]
+                    kept.add(n, ids[found][reach], ~score[reach])  # ~x falls as x rises, without overflow
+        query, ids, costs = kept.found(self.ids)
+        yield as_batch({c: pa.array(v, pa.int64()) for c, v in (("query_id", query), ("vec_id", ids), ("score", ~costs))})
 
 
 def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
@@ -141,8 +165,8 @@ def top_inner_products(vectors: DataFrame, every: int = EVERY, k: int = TOP) ->
     rows = clean(vectors)
     rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    candidates, many = packed(rows, ROWS, dims, "slices")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries, q_many = packed(asked, QUERIES, dims, "queries")
-    found = meet(candidates, many, queries, q_many).mapInArrow(_search(dims, k), "query_id long, vec_id long, score long")
+    index = packed(rows, ROWS, dims, "slices", _index, "ids binary, bits long, planes binary, values binary")
+    asked, some = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), sample(rows, dims)
+    found = searched(asked, index, dims, "scores", lambda ids, values: _Search(ids, values, dims, k, some), "query_id long, vec_id long, score long")
+    drop(index)
     return best(found, k, F.desc("score"), F.asc("vec_id")).select("query_id", "rank", "vec_id", "score")

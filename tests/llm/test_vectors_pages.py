@@ -84,6 +84,55 @@ def test_neighbours(spark, monkeypatch):
     assert ann.nearest_neighbours(vectors(spark, [])).count() == 0
 
 
+def test_tree_descent_finds_the_leaves_within():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 33, 1000):
+        points = rng.standard_normal((n, 4))
+        tree = ann.KdTree(points, leaf=16)
+        assert sorted(tree.order.tolist()) == list(range(n)) and max(np.diff(tree.edges[-1])) <= 16
+        for within in (0.0, 0.5, 4.0, math.inf):
+            point = rng.standard_normal(4)
+            leaves, least = tree.near(point, within)
+            assert (np.diff(least) >= 0).all()
+            close = set(np.flatnonzero(((points - point) ** 2).sum(1) <= within).tolist())
+            assert close <= set(tree.rows(leaves).tolist() if len(leaves) else [])
+
+
+@pytest.mark.parametrize("clusters", [200, 0])
+def test_the_search_stops(clusters):
+    """On 100,000 vectors: recall 0.9 and more; few are verified where vectors cluster, a quarter where nothing is near anything."""
+    rng, n, dims, k = np.random.default_rng(0), 100_000, 64, 10
+    v = rng.standard_normal((n, dims))
+    if clusters:
+        v = rng.standard_normal((clusters, dims))[rng.integers(0, clusters, n)] + 0.4 * v
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    onto, quantile = ann.directions(dims), ann.chi_square_quantile(ann.CONFIDENCE, ann.DIMS)
+    blocks = [np.arange(a, min(n, a + ann.ROWS)) for a in range(0, n, ann.ROWS)]
+    trees, some = [ann.KdTree(v[b] @ onto) for b in blocks], rng.permutation(n)[:4096]
+    hits, seen, asked = 0, [], rng.choice(n, 40, replace=False)
+    for q in asked:
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        limit, kept = np.sort(d[some])[k - 1], ann.Best(1, k, float)
+        for b, tree in zip(blocks, trees, strict=True):
+            kept.add(0, *ann.nearest(tree, v[b], b, v[q], v[q] @ onto, q, k, quantile, kept.limit(0, limit), seen))
+        hits += len(set(np.argsort(d)[:k].tolist()) & set(kept.ids[0].tolist()))
+    assert hits >= 0.9 * k * len(asked) and sum(seen) <= (0.1 if clusters else 0.25) * n * len(asked)
+
+
+def test_queries_in_rounds(spark, monkeypatch):
+    from carrierlens.llm import blocks
+
+    rows = some(5, 700)
+    whole = [tuple(r) for r in bitsliced.top_inner_products(vectors(spark, rows), every=5).orderBy("query_id", "rank").collect()]
+    near = [tuple(r) for r in ann.nearest_neighbours(vectors(spark, rows), every=5).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(blocks, "ROUND_BYTES", 16 * 8 * 50)
+    monkeypatch.setattr(blocks, "SAMPLE", 3)
+    monkeypatch.setattr(bitsliced, "ROWS", 64)
+    assert [tuple(r) for r in bitsliced.top_inner_products(vectors(spark, rows), every=5).orderBy("query_id", "rank").collect()] == whole and len(whole) == 700
+    assert len(set(near) & {tuple(r) for r in ann.nearest_neighbours(vectors(spark, rows), every=5).collect()}) >= 0.9 * len(near)
+
+
 def test_quantiles():
     assert abs(ann.chi_square_quantile(0.95, 2) - 5.991) < 1e-3 and abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
 
