@@ -2,13 +2,16 @@
 
 A fingerprint is eight bytes. Two fingerprints that differ in at most d bits differ in at most d bytes, so at least
 m = 8 - d of their positional bytes are the same (m = 4 for d = 4): that is the guaranteed minimum of matches. The
-index posts every distinct fingerprint under each set of m (position, byte) pairs it holds; two fingerprints meet in a
-posting list exactly when their tally of shared positional bytes reaches the minimum, so lists of single bytes, which
-would grow with the square of the corpus, are never joined. What meets is verified by the exact bit distance.
-
-Equal fingerprints are collapsed before the index, and a posting list yields a spanning forest of its links instead of
-its pairs: from a seed, everything within reach is taken out of the list at once, so a list of thousands of close
-copies costs little more than one pass over it. No list, bucket or partner count is capped.
+index posts every distinct fingerprint under each set of m (position, byte) pairs it holds, so that lists of single
+bytes, which would grow with the square of the corpus, are never joined. The shared positional bytes of pairs that meet
+are tallied; pairs at the minimum and above are retained, in the one list of their first m shared positions, and
+verified by the exact bit distance.
+
+Equal fingerprints are collapsed before the index, and a long posting list yields a spanning forest of its links instead
+of its pairs: from a seed, everything within reach is taken out of the list at once, so a list of thousands of close
+copies costs little more than one pass over it. A bucket with too many postings is posted again by half bytes of what
+its lists do not share, by the same count: of 2 d half bytes, d are the same. Such a list has 16^d fingerprints at most.
+No list, bucket or partner count is capped.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from carrierlens.llm.common import as_batch, components, cut, drop, mix, small_b
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Postings of one bucket, about: 8 bytes each.
 BUCKET = 500_000
+#: Postings of a bucket that is posted again.
+HOT = 4 * BUCKET
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -115,8 +120,23 @@ def forest(close: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def links(fps: np.ndarray, mask: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of fingerprints which share the bytes in mask and differ in few enough bits."""
+def tally(differ: np.ndarray) -> np.ndarray:
+    """How many positional bytes pairs share, by the bits in which they differ."""
+    return (differ[:, None].view(np.uint8) == 0).sum(1)
+
+
+def first_list(differ: np.ndarray, least: int) -> np.ndarray:
+    """The mask of the first `least` positional bytes that pairs share, which have so many."""
+    same = differ[:, None].view(np.uint8) == 0
+    first = same & (np.cumsum(same, 1) <= least)
+    return np.where(first, np.uint8(255), np.uint8(0)).astype(np.uint8).view("<u8").ravel()
+
+
+def links(fps: np.ndarray, mask: np.ndarray, distance: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of fingerprints which share the bits in mask and differ in few enough bits.
+
+    whole: the mask is that of a list of whole bytes, and a pair of a short list is told in its first list only.
+    """
     fps = np.unique(fps)
     fps = fps[np.argsort(fps & mask, kind="stable")]
     key = fps & mask
@@ -124,14 +144,19 @@ def links(fps: np.ndarray, mask: np.ndarray, distance: int) -> tuple[np.ndarray,
     sizes = np.diff(np.r_[first, len(key)])
     a, b = [], []
     # short lists: neighbours at every offset, over all lists at once
-    longest = 8
+    longest, least = 8, 8 - distance
     short = np.repeat(sizes <= longest, sizes)
     run = np.repeat(np.arange(len(sizes)), sizes)
     for d in range(1, min(longest, len(fps))):
-        hit = short[:-d] & (run[:-d] == run[d:])
-        hit &= np.bitwise_count(fps[:-d] ^ fps[d:]) <= distance
-        a.append(fps[:-d][hit])
-        b.append(fps[d:][hit])
+        hit = np.flatnonzero(short[:-d] & (run[:-d] == run[d:]))
+        differ = fps[hit] ^ fps[hit + d]
+        kept = tally(differ) >= least
+        kept &= np.bitwise_count(differ) <= distance
+        if whole:
+            kept[kept] = first_list(differ[kept], least) == mask
+        hit = hit[kept]
+        a.append(fps[hit])
+        b.append(fps[hit + d])
     for k in np.flatnonzero(sizes > longest):
         for roots, members in forest(fps[first[k] : first[k] + sizes[k]], distance):
             a.append(roots)
@@ -150,6 +175,44 @@ def _links(masks: np.ndarray, parts: int, distance: int):
     return run
 
 
+def _halves(mask: int, distance: int) -> list[int]:
+    """The masks of a list's own bytes and each choice of `distance` half bytes of the others."""
+    half = lambda k: 0xF << (4 * k)
+    others = [k for k in range(16) if not mask & half(k)]
+    return [mask | sum(map(half, kept)) for kept in combinations(others, distance)]
+
+
+def _post_again(masks: np.ndarray, parts: int, distance: int):
+    """Rows (bucket, again, part, postings) of buckets with n postings: these under every choice of half bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                fps, n = np.frombuffer(r["postings"], np.uint64), r["n"] // BUCKET + 1
+                out = {"again": [], "part": [], "postings": []}
+                for k, mask in enumerate(_halves(int(masks[r["bucket"] // parts]), distance)):
+                    part = (mix((fps & np.uint64(mask)) + np.uint64(k)) % np.uint64(n)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    edges = np.searchsorted(part[order], np.arange(n + 1))
+                    for p in np.flatnonzero(np.diff(edges)).tolist():
+                        out["again"].append(k)
+                        out["part"].append(p)
+                        out["postings"].append(fps[order[edges[p] : edges[p + 1]]].tobytes())
+                yield as_batch({"bucket": pa.array([r["bucket"]] * len(out["again"]), pa.int64()), "again": pa.array(out["again"], pa.int64()), "part": pa.array(out["part"], pa.int64()), "postings": pa.array(out["postings"], pa.binary())})
+
+    return run
+
+
+def _links_again(masks: np.ndarray, parts: int, distance: int):
+    def run(table: pa.Table) -> pa.Table:
+        mask = _halves(int(masks[table["bucket"][0].as_py() // parts]), distance)[table["again"][0].as_py()]
+        fps = np.concatenate([np.frombuffer(x, np.uint64) for x in table["postings"].to_pylist()])
+        a, b = links(fps, np.uint64(mask), distance, whole=False)
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id of every row of docs(doc_id, text).
 
@@ -165,9 +228,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     masks = _masks(distance)
     parts = max(1, -(-distinct.count() // BUCKET))
     posted = distinct.mapInArrow(_post(masks, parts), "bucket long, postings binary")
-    found = posted.groupBy("bucket").applyInArrow(_links(masks, parts, distance), "a long, b long")
+    hot = cut(posted.groupBy("bucket").agg((F.sum(F.octet_length("postings")) / 8).cast("long").alias("n")).where(F.col("n") > HOT), "hot") if distance else None
+    some = hot is not None and not hot.isEmpty()
+    found = (posted.join(hot, "bucket", "left_anti") if some else posted).groupBy("bucket").applyInArrow(_links(masks, parts, distance), "a long, b long")
+    if some:
+        again = posted.join(hot, "bucket").mapInArrow(_post_again(masks, parts, distance), "bucket long, again long, part long, postings binary")
+        found = found.unionByName(again.groupBy("bucket", "again", "part").applyInArrow(_links_again(masks, parts, distance), "a long, b long"))
     roots = components(found, "simhash")
     drop(distinct)
+    drop(hot)
     rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = cut(rooted.select("doc_id", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
     drop(rows)
@@ -176,17 +245,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide sketches: WORDS fingerprints of 64 bits, of differently mixed shingle hashes. Only a test reads them.
-WORDS, WIDE = 8, 84
-_MIXERS = mix(np.arange(1, WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def sketch(raw: bytes, size: int) -> np.ndarray:
-    """WORDS fingerprints of a text: of its shingle hashes, and of these mixed anew."""
-    hashes = shingle_hashes(raw, size)
-    return np.array([majority(hashes), *(majority(mix(hashes ^ m)) for m in _MIXERS)], np.uint64)
-
-
 #: Texts are near copies if their sets of shingles share 4 of 5 of the union.
 SHARE = (4, 5)
 #: Candidates meet under any of BANDS bands of DEEP minima: of pairs at 0.8, (1 - 0.8 ** 7) ** 64 = 3e-7 never meet.
@@ -195,6 +253,8 @@ _TIMES = (mix(np.arange(1, 1 + BANDS * DEEP, dtype=np.uint64) * np.uint64(0x9E37
 _FLIPS = mix(np.arange(1, 1 + BANDS * DEEP, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
 #: Shingles whose minima are taken at once; candidate texts whose sets are compared in one task, about.
 MINIMA, TOGETHER = 512, 1000
+#: Bytes of the sets of a group of candidates that is compared in one task; larger groups are compared by pairs of blocks.
+GROUP_BYTES = 64 << 20
 
 
 def shingle_set(raw: bytes, size: int) -> np.ndarray:
@@ -335,7 +395,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, name: str = "similar") -> D
     Similarity: what the sets of shingles of two texts share, of their union. Texts that share a band of minima, and all
     that such pairs connect, are candidates; within such a group the exact sets of all are compared, so nothing below
     0.8 is linked, and of the pairs at 0.8 and above all are but the 3e-7 (at 0.8; fewer above) without a shared band.
-    A group is compared in one task. component_id: the smallest doc_id reachable. Nulls, empty texts, repeats: as
+    A group of more than GROUP_BYTES is cut into blocks, and each pair of blocks is compared in a task of its own. component_id: the smallest doc_id reachable. Nulls, empty texts, repeats: as
     near_duplicates().
     """
     small_batches(docs.sparkSession)
@@ -344,13 +404,23 @@ def similar_texts(docs: DataFrame, shingle: int = 5, name: str = "similar") -> D
     keys = rows.select("id", "keys").dropDuplicates(["id"])
     parts = max(1, -(-rows.count() * BANDS // BUCKET))
     met = components(keys.mapInArrow(_post_bands(parts), "bucket long, postings binary").groupBy("bucket").applyInArrow(_meet, "a long, b long"), f"{name}-met")
-    parts = max(1, -(-met.count() // TOGETHER))
-    candidates = rows.select("id", "shingles").join(met.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
+    candidates = rows.select("id", "shingles").dropDuplicates(["id"]).join(met.withColumnRenamed("node", "id"), "id")
+    # blocks of half the bytes of each group; a group of one block is a task's, else each row goes to every pair of its block
+    sized = rows.select("id", F.octet_length("shingles").alias("n")).dropDuplicates(["id"]).join(met.withColumnRenamed("node", "id"), "id")
+    sized = sized.groupBy("root").agg(F.sum("n").cast("long").alias("n")).withColumn("blocks", F.ceil(2 * F.col("n") / GROUP_BYTES))
+    hot = cut(sized.where("blocks > 2").select("root", "blocks"), f"{name}-hot")
+    if not hot.isEmpty():
+        large = candidates.join(hot, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other != block")
+        large = large.select("id", "shingles", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("root"))
+        candidates = candidates.join(hot, "root", "left_anti").select("id", "shingles", "root").unionByName(large)
+    volume = sized.agg(F.sum(F.col("n") * F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1))).first()[0] or 0
+    parts = max(1, -(-met.count() // TOGETHER), -(-int(volume) // GROUP_BYTES))
     packed = candidates.mapInArrow(_pack_sets(parts), "bucket long, roots binary, ids binary, sizes binary, shingles binary")
     roots = components(packed.groupBy("bucket").applyInArrow(_verify, "a long, b long"), name)
     rooted = rows.select("doc_id", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     rooted = cut(rooted.select("doc_id", F.coalesce("root", "id").alias("root")), "rooted")
-    for old in (rows, met, roots):
+    for old in (rows, met, roots, hot):
         drop(old)
     smallest = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rooted.join(smallest, "root").select("doc_id", "component_id")

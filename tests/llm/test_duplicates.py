@@ -65,6 +65,34 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert [r.fingerprint for r in rows] == fps and [r.component_id for r in rows] == comp
 
 
+def test_hot_buckets_are_posted_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    monkeypatch.setattr(simhash, "BUCKET", 60)
+    test_near_duplicates_are_those_of_brute_force(spark)
+
+
+def test_short_lists_tell_a_pair_once():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, fps ^ np.uint64(1), fps ^ np.uint64(1 << 9 | 1 << 30)]))
+    told = [pair for mask in simhash._masks(4) for pair in zip(*(x.tolist() for x in simhash.links(fps, mask, 4)), strict=True)]
+    want = {(int(fps[i]), int(fps[j])) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4) if j > i}
+    assert len(told) == len(want) and {tuple(sorted(p)) for p in told} == want
+    x = np.array([0, 0xFF, 0x0100FF00000000FF], np.uint64)
+    assert simhash.tally(x).tolist() == [8, 7, 5] and simhash.first_list(x, 4).tolist() == [0xFFFFFFFF, 0xFFFFFFFF00, 0xFFFFFFFF00]
+
+
+def test_halves_meet_all_links():
+    rng, mask = np.random.default_rng(3), 0xFF00FF00FF00FF
+    base = rng.integers(0, 2**64, dtype=np.uint64)
+    free = [k for k in range(64) if not mask >> k & 1]
+    fps = np.unique(np.array([base ^ np.uint64(sum(1 << int(b) for b in rng.choice(free, rng.integers(0, 7), replace=False))) for _ in range(400)], np.uint64))
+    linked = [p for m in simhash._halves(mask, 4) for p in zip(*(x.tolist() for x in simhash.links(fps, np.uint64(m), 4, whole=False)), strict=True)]
+    at = {int(f): k for k, f in enumerate(fps)}
+    pairs = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 4)]
+    assert len(simhash._halves(mask, 4)) == 70 and roots(len(fps), [(at[a], at[b]) for a, b in linked]) == roots(len(fps), pairs)
+
+
 def test_near_duplicates_of_documents(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted(simhash.near_duplicates(table).collect(), key=lambda r: r.doc_id)
@@ -105,6 +133,11 @@ def test_similar_texts(spark):
     assert simhash.similar_texts(docs(spark, [])).count() == 0
 
 
+def test_large_groups_are_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_BYTES", 30_000)
+    test_similar_texts_are_those_of_brute_force(spark)
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + k, 501 + k) for k in range(40)]

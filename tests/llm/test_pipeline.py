@@ -1,17 +1,15 @@
 import re
 
 import corpus_pipeline as pipeline
-from carrierlens.llm import queries, simhash, toxicity
+from carrierlens.llm import queries, toxicity
 from carrierlens.llm.common import read
-from test_duplicates import brute_removal, roots
+from test_duplicates import brute_removal, roots, words
 
 
 def test_stages(spark, sf_dir):
     """Each stage against its rule, judged on its own input."""
     names = [n for n, _ in pipeline.STAGES]
     assert names == ["toxicity", "simhash_near_dedup", "substring_dedup", "pii_surrogates", "best_fit_packing"]
-    import numpy as np
-
     docs = read(spark, sf_dir, "documents")
     columns = docs.columns
     before = {r.doc_id: r for r in docs.collect()}
@@ -22,12 +20,9 @@ def test_stages(spark, sf_dir):
 
     near = pipeline.cut(pipeline.drop_near_copies(spark, kept, sf_dir), "t2")
     ids = sorted(after)
-    sketches = np.array([simhash.sketch(after[d].text.encode(), 5) for d in ids])
-    pairs = sketches.view(np.uint16)
-    linked = []
-    for i in range(len(ids)):
-        close = np.bitwise_count(sketches[i] ^ sketches).sum(1, dtype=np.int64) <= simhash.WIDE
-        linked += [(i, int(j)) for j in np.flatnonzero(close & (pairs[i] == pairs).any(1))]
+    own = [words("".join(c.lower() if "A" <= c <= "Z" else c for c in after[d].text)) for d in ids]
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in own]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
     comp = roots(len(ids), linked)
     left = {r.doc_id: r for r in near.collect()}
     assert near.columns == columns and set(left) == {ids[c] for c in comp}
