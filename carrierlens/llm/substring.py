@@ -59,7 +59,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.digests, self.bytes = _Known(), np.empty((0, 2), np.uint64), 0
+        self.known, self.digests, self.held, self.bytes = _Known(), np.empty((1 << 12, 2), np.uint64), 0, 0
         self.known.new = []
 
     def hashes(self, raw: bytes) -> np.ndarray:
@@ -77,7 +77,11 @@ class Words:
         places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if known.new:
             made = b"".join([hashlib.blake2b(w, digest_size=16, key=self.key).digest() for w in known.new])
-            self.digests = np.concatenate([self.digests, np.frombuffer(made, "<u8").reshape(-1, 2) % PRIME])
+            end = self.held + len(known.new)
+            if end > len(self.digests):
+                self.digests = np.concatenate([self.digests[: self.held], np.empty((end, 2), np.uint64)])
+            self.digests[self.held : end] = np.frombuffer(made, "<u8").reshape(-1, 2) % PRIME
+            self.held = end
             self.bytes += sum(map(len, known.new))
             known.new = []
         out = self.digests[places]
@@ -113,6 +117,14 @@ def _dealt(numbers: np.ndarray, window: int) -> np.ndarray:
     return mix(window_hashes(numbers[:, 1], window, BASES[1]))
 
 
+def of_each(numbers: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many windows each document has, and which of the windows of all documents, one after another, lie within one."""
+    words = np.array([len(n) for n in numbers], np.int64)
+    sizes = np.maximum(words - window + 1, 0)
+    starts, firsts = np.cumsum(words) - words, np.cumsum(sizes) - sizes
+    return sizes, np.repeat(starts - firsts, sizes) + np.arange(int(sizes.sum()))
+
+
 def _bucket_of(dealt: np.ndarray, buckets: int) -> np.ndarray:
     return (dealt % np.uint64(buckets)).astype(np.int64)
 
@@ -141,12 +153,13 @@ def _ask(window: int, buckets: int):
     """Per chunk of documents and bucket: rows of documents, their windows, which of these are asked for, their hashes."""
     kinds = {"bucket": pa.int64(), "doc": pa.binary(), "text_key": pa.binary(), "n": pa.binary(), "asked": pa.binary(), "hashes": pa.binary()}
 
-    def flush(docs, keys, hashes):
+    def flush(docs, keys, numbers):
         docs, keys = np.array(docs, np.int64), np.array(keys, np.int64)
         by_id = np.argsort(docs.view(np.uint64), kind="stable")
-        docs, keys, hashes = docs[by_id], keys[by_id], [hashes[k] for k in by_id.tolist()]
-        sizes = np.array([len(h) for h, _ in hashes], np.int64)
-        h, dealt = (np.concatenate([pair[k] for pair in hashes]) for k in (0, 1))
+        docs, keys, numbers = docs[by_id], keys[by_id], [numbers[k] for k in by_id.tolist()]
+        sizes, own = of_each(numbers, window)
+        numbers = np.concatenate(numbers)
+        h, dealt = _sent(numbers, window)[own], _dealt(numbers, window)[own]
         row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)  # equal ids: equal rank
         order = np.lexsort((rank[row], h))
@@ -167,21 +180,21 @@ def _ask(window: int, buckets: int):
         return as_batch({k: pa.array(out[k], t) for k, t in kinds.items()})
 
     def run(batches):
-        docs, keys, hashes, held, known = [], [], [], 0, Words()
+        docs, keys, numbers, held, known = [], [], [], 0, Words()
         for batch in batches:
             texts = batch["text"].cast(pa.binary()).to_pylist()
             for doc, key, raw in zip(batch["doc"].to_pylist(), batch["text_key"].to_pylist(), texts, strict=True):
-                numbers = known.hashes(raw or b"")
-                if len(numbers) >= window:
+                own = known.hashes(raw or b"")
+                if len(own) >= window:
                     docs.append(doc)
                     keys.append(key)
-                    hashes.append((_sent(numbers, window), _dealt(numbers, window)))
-                    held += len(hashes[-1][0])
+                    numbers.append(own)
+                    held += len(own)
                 if held >= CHUNK:
-                    yield flush(docs, keys, hashes)
-                    docs, keys, hashes, held = [], [], [], 0
+                    yield flush(docs, keys, numbers)
+                    docs, keys, numbers, held = [], [], [], 0
         if held:
-            yield flush(docs, keys, hashes)
+            yield flush(docs, keys, numbers)
 
     return run
 
@@ -272,12 +285,15 @@ def _remove(window: int, buckets: int):
         known = Words()
         for batch in batches:
             out = {k: [] for k in kinds}
-            texts = batch["text"].cast(pa.binary()).to_pylist()
-            for raw, at, places in zip(texts, batch["buckets"].to_pylist(), batch["places"].to_pylist(), strict=True):
+            texts, every = batch["text"].cast(pa.binary()).to_pylist(), batch["places"].to_pylist()
+            numbers = [known.hashes(raw) for raw, places in zip(texts, every, strict=True) if places]
+            sizes, own = of_each(numbers, window)
+            dealt = iter(np.split(_dealt(np.concatenate(numbers), window)[own], np.cumsum(sizes)[:-1]) if numbers else [])
+            for raw, at, places in zip(texts, batch["buckets"].to_pylist(), every, strict=True):
                 words = (raw or b"").split()
                 spans, n = [], len(words)
                 if places:
-                    mask = covered(_dealt(known.hashes(raw), window), np.frombuffer(at, np.int32), np.frombuffer(places, np.int32), buckets, window)
+                    mask = covered(next(dealt), np.frombuffer(at, np.int32), np.frombuffer(places, np.int32), buckets, window)
                     spans = intervals(mask)
                     words = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
                 kept = b" ".join(words)
