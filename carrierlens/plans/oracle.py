@@ -74,7 +74,7 @@ f AS (SELECT doc_id, off AS "offset", category,
 
 
 BASE = f"WITH {INJECTED}, {scanned('inj')}"
-GREEK_ONLY = f"""swapped AS (SELECT doc_id, {_swap("regexp_replace(lower(substr(text, 1, 200)), '[^aeiokvptxz]', '', 'g')", G.GREEK)} AS text FROM documents)"""
+GREEK_ONLY = f"""swapped AS (SELECT doc_id, {_swap("regexp_replace(lower(text), '[^aeiokvptxz]', '', 'g')", G.GREEK)} AS text FROM documents)"""
 _REASON_ROWS = """r AS (SELECT doc_id, unnest(CASE WHEN explicit > 0 THEN ['BIDI_EXPLICIT_OVERRIDE'] WHEN action = 'review' THEN list_filter(list_sort([CASE WHEN bidi > 0 THEN 'BIDI_CONTROL' END, CASE WHEN mixed > 0 THEN 'MIXED_SCRIPT' END, CASE WHEN tags > 0 THEN 'TAG_CHARACTER' END, CASE WHEN zw >= 4 THEN 'ZERO_WIDTH_CLUSTER' END]), lambda x: x IS NOT NULL)
   WHEN total > 0 THEN ['INFORMATIONAL_CARRIER'] ELSE ['NO_FINDINGS'] END) AS reason FROM n)"""
 _STRIP = [*C.ZERO_WIDTH, *C.BIDI, *C.INVISIBLE, 0xE0000 + 104, 0xE0000 + 105]
@@ -83,7 +83,7 @@ CONTEXTS = ["می‌روم", "क्‍ष", "\U0001f468‍\U0001f469‍\U0001f4
 #: What is recognised in CONTEXTS: zero-width, tags, directions; joiners that are not.
 CONTEXT_COUNTS = [(1, 0, 0, 0), (1, 0, 0, 0), (3, 0, 0, 0), (0, 6, 0, 0), (0, 0, 2, 0), (0, 0, 0, 1)]
 _context = " ".join(f"WHEN {k} THEN [{', '.join(map(str, v))}]" for k, v in enumerate(CONTEXT_COUNTS))
-MANY = f"""many AS (SELECT doc_id, substr(text, 1, 40) || repeat(chr(160), (5 + doc_id % 7)::INT) || chr(8203) || chr(8295) || chr(8238) || 'x' || chr(173) AS text FROM documents)"""
+MANY = f"""many AS (SELECT doc_id, text || repeat(chr(160), (5 + doc_id % 7)::INT) || chr(8203) || chr(8295) || chr(8238) || 'x' || chr(173) AS text FROM documents)"""
 _LINES = """lines AS (SELECT source AS batch_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord, doc_id,
   CASE WHEN doc_id % 50 = 7 THEN '{bad}' WHEN doc_id % 50 = 8 THEN '17' ELSE '"' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || '"' END AS line FROM documents)"""
 
@@ -114,7 +114,8 @@ SQL = {
   keep AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first DESC, "offset") AS r, count(*) OVER (PARTITION BY doc_id) AS total FROM rep)
   SELECT doc_id, "offset", category, codepoints, total::INT AS total FROM keep WHERE r <= 6""",
     "admission_status": "SELECT CASE WHEN length(text) > 2000 THEN 'limit_exceeded' ELSE 'complete' END AS status, CASE WHEN length(text) > 2000 THEN 'INPUT_CHAR_LIMIT' ELSE 'NO_FINDINGS' END AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
-    "binary_admission": "SELECT CASE WHEN doc_id % 10 = 3 THEN 'invalid_input' WHEN strlen(text) > 3000 THEN 'limit_exceeded' ELSE 'complete' END AS status, CASE WHEN doc_id % 10 = 3 AND strlen(text) + 1 <= 3000 THEN 'INVALID_UTF8' WHEN strlen(text) + (doc_id % 10 = 3)::INT > 3000 THEN 'INPUT_BYTE_LIMIT' ELSE 'NO_FINDINGS' END AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
+    "binary_admission": """WITH b AS (SELECT strlen(text) + (doc_id % 10 = 3)::INT AS bytes, doc_id % 10 = 3 AS broken FROM documents)
+  SELECT CASE WHEN bytes > 3000 THEN 'limit_exceeded' WHEN broken THEN 'invalid_input' ELSE 'complete' END AS status, CASE WHEN bytes > 3000 THEN 'INPUT_BYTE_LIMIT' WHEN broken THEN 'INVALID_UTF8' ELSE 'NO_FINDINGS' END AS reason, count(*) AS n FROM b GROUP BY 1, 2""",
     "jsonl_batch_exit": f"""WITH {_LINES}, t AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY batch_id ORDER BY ord) AS cum FROM lines),
   stop AS (SELECT batch_id, min(ord) AS stop_at FROM t WHERE cum > 60000 OR ord > 40 GROUP BY batch_id),
   e AS (SELECT t.* FROM t LEFT JOIN stop USING (batch_id) WHERE stop_at IS NULL OR ord < stop_at)
@@ -130,13 +131,13 @@ SQL = {
   r AS (SELECT conv_id, prompt, CASE WHEN n > 6 OR length(question) > 3000 THEN 'BATCH_LIMIT' WHEN held THEN 'DOCUMENT_HELD' WHEN length(prompt) > 3000 THEN 'PROMPT_CHAR_LIMIT' END AS reason FROM j)
   SELECT conv_id, CASE WHEN reason IS NULL THEN 'sent' ELSE 'held' END AS status, reason, CASE WHEN reason IS NULL THEN md5(prompt) END AS prompt_md5 FROM r""",
     "tool_result_gate": "SELECT role, CASE WHEN conv_id % 3 = 1 THEN 'held' ELSE 'sent' END AS status, count(*) AS n FROM conversations GROUP BY 1, 2",
-    "replay_dedupe": """WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS ord, doc_id % 40 = 9 AS bad FROM documents),
-  s AS (SELECT *, min(ord) FILTER (NOT bad) OVER (PARTITION BY source) AS first FROM r)
-  SELECT ord::INT AS record_index, CASE WHEN first < ord THEN NULL WHEN bad THEN NULL ELSE source END AS source_id, CASE WHEN first < ord THEN 'DUPLICATE_SOURCE_ID' WHEN bad THEN 'INVALID_TEXT' ELSE 'NO_FINDINGS' END AS reason FROM s WHERE ord <= 10000""",
-    "replay_summary": """WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS ord, doc_id % 40 = 9 AS bad FROM documents),
-  s AS (SELECT *, min(ord) FILTER (NOT bad) OVER (PARTITION BY source) AS first FROM r WHERE ord <= 10000),
-  e AS (SELECT CASE WHEN first < ord OR bad THEN 'invalid_input' ELSE 'allow' END AS k FROM s)
-  SELECT 'incomplete' AS status, CASE WHEN (SELECT count(*) FROM r) > 10000 THEN 'BATCH_RECORD_LIMIT' ELSE 'INCOMPLETE_INSPECTION' END AS incomplete_reason, count(*) AS processed_records, count(*) FILTER (k = 'allow') AS allowed, count(*) FILTER (k = 'invalid_input') AS invalid FROM e""",
+    "replay_dedupe": """WITH r AS (SELECT (doc_id // 1000)::VARCHAR AS batch_id, source, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS ord, doc_id % 40 = 9 AS bad FROM documents),
+  s AS (SELECT *, min(ord) FILTER (NOT bad) OVER (PARTITION BY batch_id, source) AS first FROM r)
+  SELECT batch_id, ord::INT AS record_index, CASE WHEN first < ord THEN NULL WHEN bad THEN NULL ELSE source END AS source_id, CASE WHEN first < ord THEN 'DUPLICATE_SOURCE_ID' WHEN bad THEN 'INVALID_TEXT' ELSE 'NO_FINDINGS' END AS reason FROM s""",
+    "replay_summary": """WITH r AS (SELECT (doc_id // 1000)::VARCHAR AS batch_id, source, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS ord, doc_id % 40 = 9 AS bad FROM documents),
+  s AS (SELECT *, min(ord) FILTER (NOT bad) OVER (PARTITION BY batch_id, source) AS first FROM r),
+  e AS (SELECT batch_id, CASE WHEN first < ord OR bad THEN 'invalid_input' ELSE 'allow' END AS k FROM s)
+  SELECT batch_id, CASE WHEN bool_or(k <> 'allow') THEN 'incomplete' ELSE 'replay_complete' END AS status, CASE WHEN bool_or(k <> 'allow') THEN 'INCOMPLETE_INSPECTION' END AS incomplete_reason, count(*) AS processed_records, count(*) FILTER (k = 'allow') AS allowed, count(*) FILTER (k = 'invalid_input') AS invalid FROM e GROUP BY batch_id""",
     "input_size_percentiles": "SELECT source, quantile_disc(strlen(text), 0.5)::INT AS p50, quantile_disc(strlen(text), 0.95)::INT AS p95, count(*) AS n FROM documents GROUP BY source",
     "action_vs_label_confusion": f"{BASE} SELECT toxic, count(*) FILTER (action = 'allow') AS allow, count(*) FILTER (action = 'review') AS review, count(*) FILTER (action = 'block') AS block FROM n JOIN labels USING (doc_id) GROUP BY toxic",
     "clean_documents_semi": f"{BASE} SELECT d.doc_id, d.source FROM documents d SEMI JOIN (SELECT doc_id FROM n WHERE verdict = 'clean') USING (doc_id)",
@@ -145,7 +146,7 @@ SQL = {
     "cross_split_leak": "SELECT sha256(text) AS hash, count(DISTINCT doc_id % 2) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 2) > 1",
     "attack_family_misses": f"{BASE} SELECT family, count(*) AS n, count(*) FILTER (verdict <> 'malicious') AS missed FROM n JOIN inj USING (doc_id) GROUP BY family",
     "stratum_counts": f"{BASE} SELECT 'family' AS dimension, family AS value, count(*) AS n FROM inj GROUP BY 2 UNION ALL SELECT 'lang', lang, count(*) FROM inj GROUP BY 2",
-    "utf16_offsets": """WITH e AS (SELECT doc_id, repeat(chr(128512), (doc_id % 5)::INT) || substr(text, 1, 30) || chr(128512) || chr(8203) || 'z' AS text FROM documents)
+    "utf16_offsets": """WITH e AS (SELECT doc_id, repeat(chr(128512), (doc_id % 5)::INT) || text || chr(128512) || chr(8203) || 'z' AS text FROM documents)
   SELECT doc_id, (length(text) - 2)::INT AS "offset", (length(text) - 2 + doc_id % 5 + 1)::INT AS utf16 FROM e""",
     "snippet_windows": f"""{BASE}, len AS (SELECT doc_id, length(text) AS l FROM inj), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "offset") AS r FROM f) WHERE r <= 32),
   w AS (SELECT DISTINCT doc_id, unnest(range(greatest(0, "offset" - 3), least(l - 1, "offset" + 3) + 1)) AS o FROM top JOIN len USING (doc_id))

@@ -92,7 +92,7 @@ def mixed_script_isolated(spark, d):
 
 
 def mixed_script_full(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", G.greek_homoglyph_swap(F.regexp_replace(F.lower(F.substring("text", 1, 200)), "[^aeiokvptxz]", "")).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", G.greek_homoglyph_swap(F.regexp_replace(F.lower("text"), "[^aeiokvptxz]", "")).alias("text"))
     rows = found(docs).where("category = 'MIXED_SCRIPT'")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("detail").alias("detail"))
 
@@ -132,7 +132,7 @@ def reason_codes(spark, d):
 
 def _with_contexts(spark, d):
     at = F.element_at(F.array(*[F.lit(c) for c in CONTEXTS]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" "), at).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), at).alias("text"))
 
 
 def context_summary(spark, d):
@@ -145,7 +145,7 @@ def context_decisions(spark, d):
 
 def retained_evidence_top6(spark, d):
     docs = table(spark, d, "documents")
-    text = F.concat(F.substring("text", 1, 40), F.repeat(F.lit(chr(0xA0)), (F.lit(5) + F.col("doc_id") % 7).cast("int")), F.lit("".join(map(chr, (0x200B, 0x2067, 0x202E, 0x78, 0xAD)))))
+    text = F.concat("text", F.repeat(F.lit(chr(0xA0)), (F.lit(5) + F.col("doc_id") % 7).cast("int")), F.lit("".join(map(chr, (0x200B, 0x2067, 0x202E, 0x78, 0xAD)))))
     rows = inspect(docs.select("doc_id", text.alias("text")), limits=Limits(max_findings=6))
     rows = explode_findings(rows.select("doc_id", F.col("finding_count_total").alias("total"), "findings"), "findings")
     return rows.select("doc_id", "offset", "category", "codepoints", "total")
@@ -162,9 +162,7 @@ def admission_status(spark, d):
 def binary_admission(spark, d):
     raw = F.when(F.col("doc_id") % 10 == 3, F.concat(F.col("text").cast("binary"), F.lit(b"\xff"))).otherwise(F.col("text").cast("binary"))
     docs = table(spark, d, "documents").select("doc_id", raw.alias("content"))
-    rows = inspect_binary(docs, limits=Limits(max_input_bytes=3000))
-    status = F.when(F.col("doc_id") % 10 == 3, F.lit("invalid_input")).otherwise(F.col("status"))
-    return _reasons(rows.withColumn("status", status))
+    return _reasons(inspect_binary(docs, limits=Limits(max_input_bytes=3000)))
 
 
 def output_size_limit(spark, d):
@@ -201,18 +199,20 @@ def tool_result_gate(spark, d):
 
 
 def _replayed(spark, d):
-    text = F.when(F.col("doc_id") % 40 == 9, F.lit("5")).otherwise(F.concat(F.lit('"'), F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit('"')))
-    rows = table(spark, d, "documents").select(F.lit("all").alias("batch_id"), F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("ord"), F.concat(F.lit('{"source_id":"'), F.col("source"), F.lit('","text":'), text, F.lit("}")).cast("binary").alias("line"))
+    """Replay of batches of a thousand ids each; every fortieth record has no text but a number."""
+    line = F.when(F.col("doc_id") % 40 == 9, F.to_json(F.struct(F.col("source").alias("source_id"), F.lit(5).alias("text")))).otherwise(F.to_json(F.struct(F.col("source").alias("source_id"), "text")))
+    number = F.floor(F.col("doc_id") / 1000).cast("string")
+    rows = table(spark, d, "documents").select(number.alias("batch_id"), F.row_number().over(Window.partitionBy(number).orderBy("doc_id")).cast("long").alias("ord"), line.cast("binary").alias("line"))
     return batch.replay(rows.withColumn("size", (F.octet_length("line") + 1).cast("long")))
 
 
 def replay_dedupe(spark, d):
-    return _replayed(spark, d)[0].select("record_index", "source_id", F.col("reason_codes")[0].alias("reason"))
+    return _replayed(spark, d)[0].select("batch_id", "record_index", "source_id", F.col("reason_codes")[0].alias("reason"))
 
 
 def replay_summary(spark, d):
     counts = F.col("action_or_status_counts")
-    return _replayed(spark, d)[1].select("status", "incomplete_reason", "processed_records", F.coalesce(counts["allow"], F.lit(0)).alias("allowed"), F.coalesce(counts["invalid_input"], F.lit(0)).alias("invalid"))
+    return _replayed(spark, d)[1].select("batch_id", "status", "incomplete_reason", "processed_records", F.coalesce(counts["allow"], F.lit(0)).alias("allowed"), F.coalesce(counts["invalid_input"], F.lit(0)).alias("invalid"))
 
 
 def input_size_percentiles(spark, d):
@@ -254,7 +254,7 @@ def stratum_counts(spark, d):
 
 def utf16_offsets(spark, d):
     face = chr(0x1F600)
-    text = F.concat(F.repeat(F.lit(face), (F.col("doc_id") % 5).cast("int")), F.substring("text", 1, 30), F.lit(face + chr(0x200B) + "z"))
+    text = F.concat(F.repeat(F.lit(face), (F.col("doc_id") % 5).cast("int")), "text", F.lit(face + chr(0x200B) + "z"))
     docs = table(spark, d, "documents").select("doc_id", text.alias("text"))
     return found(docs).join(docs, "doc_id").select("doc_id", "offset", preview.utf16_offset(F.col("text"), F.col("offset")).alias("utf16"))
 
