@@ -40,8 +40,10 @@ def digest(payload: bytes) -> str:
     return base32(hashlib.sha1(payload).hexdigest())
 
 
-def _record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
+def _record_id(page_id: int | None, url: str | None, payload_digest: str) -> str:
+    """The id of a page's record: what a revisit knows of the response tells it; only pages without an id need the URL."""
+    page = f"url {url}" if page_id is None else page_id
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {payload_digest}')}>"
 
 
 def _line(value: object) -> str:
@@ -55,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if is_revisit else http + payload
     head = {
         "WARC-Type": "revisit" if is_revisit else "response",
-        "WARC-Record-ID": _record_id(page_id, url),
+        "WARC-Record-ID": _record_id(page_id, url, payload_digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": _line(url or ""),
         "WARC-Payload-Digest": f"sha1:{payload_digest}",
@@ -63,7 +65,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "X-Payload-Length": len(payload),
     }
     if is_revisit:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": refers_to}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _record_id(refers_to, None, payload_digest), "X-Refers-To-Page-ID": refers_to}
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"

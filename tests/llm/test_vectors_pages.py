@@ -184,6 +184,13 @@ def test_normaliser(cut):
     assert sum(a["length"] for a in at) == len(target.getvalue()) and all(zlib.decompress(target.getvalue()[a["offset"] : a["offset"] + a["length"]], 31) == r for a, r in zip(at, raw, strict=True))
 
 
+def test_revisits_name_the_record_they_refer_to():
+    own = [warc.record(3, "http://h/a", b"same", None, False, "A" * 32), warc.record(9, "http://h/b", b"same", 3, True, "A" * 32), warc.record(None, "u", b"same", 3, True, "A" * 32)]
+    first, *others = (r.headers for r in warc.records(io.BytesIO(gzip.compress(b"".join(own)))))
+    assert "WARC-Refers-To" not in first and all(h["WARC-Refers-To"] == first["WARC-Record-ID"] for h in others)
+    assert len({h["WARC-Record-ID"] for h in (first, *others)}) == 3
+
+
 def test_broken_streams_are_refused():
     whole = gzip.compress(b"".join(crawl(5)))
     for bad in (whole[:-20], gzip.compress(b"".join(crawl(5))[:-3]), gzip.compress(b"HTTP/1.1 200\r\n\r\n")):
