@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
+import re
 import sys
+from collections.abc import Iterator
+from contextlib import nullcontext
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +18,8 @@ from carrierlens.settings import Limits, Policy
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="carrierlens", description=__doc__)
-    p.add_argument("text", nargs="?", help="a literal text")
-    p.add_argument("--file", help="a file instead of a text")
+    p.add_argument("text", nargs="?", help="a literal text, or - for standard input, which is also read where it is piped and nothing else is named")
+    p.add_argument("-f", "--file", help="a file instead of a text")
     p.add_argument("--stdin", action="store_true", help="standard input instead of a text")
     p.add_argument("--inspect", action="store_true", help="a policy report")
     p.add_argument("--contextual", action="store_true", help="with the contextual policy")
@@ -24,10 +29,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sanitize", action="store_true", help="the canonical text only")
     p.add_argument("--page", help="write an evidence page to this new file")
     p.add_argument("--replay", metavar="PIPELINE_ID", help="the file is a replay of {source_id, text} records")
+    p.add_argument("--events", help="write the events of a replay to this new file")
     return p
 
 
-def arguments(argv: list[str]) -> argparse.Namespace:
+def arguments(argv: list[str], piped: bool = False) -> argparse.Namespace:
     p = parser()
     a = p.parse_args(argv)
     needs = a.contextual or a.jsonl or a.explain or a.max_records != 1000
@@ -35,10 +41,22 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         p.error("--contextual, --jsonl, --explain and --max-records need --inspect")
     if a.sanitize and (a.inspect or a.page or a.replay):
         p.error("--sanitize gives no report")
+    if a.max_records < 1:
+        p.error("--max-records must be positive")
+    if a.events and not a.replay:
+        p.error("--events needs --replay")
+    if a.replay and not re.fullmatch("[A-Za-z0-9_-]{1,64}", a.replay):
+        p.error("a pipeline id is 1 to 64 ASCII letters, digits, _ and -")
+    if a.text == "-":
+        a.text, a.stdin = None, True
+    if a.text is None and not a.file and not a.stdin:
+        a.stdin = piped
     if (a.jsonl or a.replay) and not (a.file or a.stdin):
-        p.error("a batch needs --file or --stdin")
+        p.error("a batch needs --file or standard input")
     if sum((a.text is not None, bool(a.file), a.stdin)) != 1:
-        p.error("one of a text, --file and --stdin is needed")
+        p.error("one of a text, --file and standard input is needed")
+    if a.text == "" and not a.inspect:
+        p.error("the text is empty")
     return a
 
 
@@ -56,8 +74,22 @@ def _input(spark: SparkSession, a: argparse.Namespace, limits: Limits) -> DataFr
     return spark.createDataFrame([(bytearray(data), len(data))], "content binary, length long")
 
 
+def _lines(source: BinaryIO, line_bytes: int, batch_bytes: int, records: int) -> Iterator[tuple[str, int, bytearray, int]]:
+    """Rows of a batch. Reads no more than its limits: of a line two bytes past the limit, of records one past theirs."""
+    read = 0
+    for k in range(1, records + 2):
+        raw = source.readline(line_bytes + 2)
+        if not raw:
+            return
+        line = raw.removesuffix(b"\n")
+        yield "batch", k, bytearray(line), len(raw)
+        read += len(raw)
+        if read > batch_bytes or len(line) > line_bytes:
+            return
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    a = arguments(sys.argv[1:] if argv is None else argv)
+    a = arguments(sys.argv[1:] if argv is None else argv, not sys.stdin.isatty())
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
     from carrierlens.operators import batch, inspect, viewer
     from carrierlens.ship import ship
@@ -66,15 +98,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     ship(spark)
     limits, policy = Limits(), Policy.CONTEXTUAL if a.contextual else Policy.BALANCED
     if a.jsonl or a.replay:
-        raw = sys.stdin.buffer.read() if a.stdin else open(a.file, "rb").read()
-        parts = raw.split(b"\n")
-        ends = len(parts) - 1
-        rows = [("batch", k + 1, bytearray(x), len(x) + (k < ends)) for k, x in enumerate(parts) if x or k < ends]
+        bounds = (batch.REPLAY_LINE, batch.REPLAY_BYTES, batch.REPLAY_RECORDS) if a.replay else (limits.max_input_bytes, batch.BATCH_BYTES, a.max_records)
+        try:
+            with nullcontext(sys.stdin.buffer) if a.stdin else open(a.file, "rb") as f:
+                rows = list(_lines(f, *bounds))
+        except OSError:
+            if a.replay:
+                print("the replay could not be read", file=sys.stderr)
+                return 4
+            failed = spark.createDataFrame([(None, -1)], "content binary, length long")
+            r = inspect.inspect_binary(failed, "content", policy, limits, "length").select(inspect.report_json().alias("j"), sinks.explained().alias("x")).first()
+            print(r["j"])
+            if a.explain:
+                print(r["x"], file=sys.stderr)
+            return 4
         lines = spark.createDataFrame(rows, "batch_id string, ord long, line binary, size long")
         if a.replay:
-            _, summary = batch.replay(lines, policy)
-            found = summary.withColumn("pipeline_id", F.lit(a.replay)).toJSON().collect()
-            print(found[0] if found else '{"status":"incomplete","incomplete_reason":"EMPTY_REPLAY"}')
+            events, summary = batch.replay(lines, policy, pipeline_id=a.replay)
+            if a.events:
+                with open(a.events, "x", encoding="ascii") as f:
+                    for (event,) in events.orderBy("record_index").select(inspect.report_json(sinks.EVENT)).toLocalIterator():
+                        f.write(event + "\n")
+            found = summary.select(F.to_json(F.struct(*[c for c in summary.columns if c != "batch_id"]), {"ignoreNullFields": "false"})).first()
+            nothing = {"schema_version": 1, "kind": "local_shadow_replay", "pipeline_id": a.replay, "policy_id": policy.value, "status": "incomplete", "incomplete_reason": "EMPTY_REPLAY", "processed_records": 0, "input_bytes_read": 0}
+            print(found[0] if found else json.dumps(nothing, separators=(",", ":")))
             return 0 if found and '"status":"replay_complete"' in found[0] else 4
         reports, batches = batch.inspect_jsonl(lines, policy, limits, a.max_records)
         for r in reports.orderBy("ord").select(inspect.report_json().alias("j"), sinks.explained(F.col("ord")).alias("x")).collect():
@@ -97,6 +144,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.explain:
             print(r["x"], file=sys.stderr)
         return r["code"]
+    if rows.where("length < 0").count():
+        print("the input could not be read", file=sys.stderr)
+        return 2
     text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n") if a.file else F.col("content").cast("string")
     out = inspect.analyze(rows.select(text.alias("text")), limits=limits)
     r = out.select(sinks.verdict_json().alias("j"), "sanitized", "verdict", "error").first()

@@ -1,8 +1,8 @@
 """Narrow contexts in which joiners, tags and isolates are ordinary writing.
 
 Emoji sequences are matched longest first, one character on after a failure. Without a sequence file the table holds the
-three subdivision flags and the joiner sequences that rules below generate from the public structure of emoji: it is a
-subset, not the whole recommended set. A file, where one is given, must have the expected number of sequences.
+three subdivision flags and the joiner sequences that rules below generate from the public structure of emoji. Table and
+file must have the expected number of sequences.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ NEIGHBOURS = re.compile("[‌‍︎️\U000e0000-\U000e007f]")
 OPENERS, RTL_OPENERS, CLOSER = "⁦⁧⁨", "⁧⁨", "⁩"
 
 
+@lru_cache(maxsize=1)
 def generated() -> frozenset[str]:
     """Tag flags and joiner sequences by rule."""
     man, woman, person = "\U0001f468", "\U0001f469", "\U0001f9d1"
@@ -49,10 +50,24 @@ def generated() -> frozenset[str]:
     for a, b in ((man, man), (woman, man), (woman, woman)):
         out |= {join(a + s, heart, b + t) for s, t in tones} | {join(a + s, heart, kiss, b + t) for s, t in tones}
     out |= {join(person + s, "\U0001f91d", person + t) for s, t in tones}
+    # pairs of unlike tones; of like tones there are single characters
+    unlike = [(s, t) for s, t in tones if s != t]
+    out |= {join(person + s, *mid, person + t) for mid in ((heart,), (heart, kiss)) for s, t in unlike}
+    out |= {join(a + s, "\U0001f91d", b + t) for a, b in ((man, man), (woman, man), (woman, woman)) for s, t in unlike}
+    out |= {join(a + s, sign, a + t) for a in (man, woman, person) for sign in ("\U0001f430", "\U0001faef") for s, t in unlike}
+    out |= {join("\U0001faf1" + s, "\U0001faf2" + t) for s, t in unlike}
+    out |= {join(a + t, s) for a in "\U0001f46f\U0001f93c" for t in TONES[1:] for s in signs}
+    out |= {join(person + t, "\U0001fa70") for t in TONES}
+    # walkers, runners, kneelers and those with a cane or a wheelchair, facing right
+    right = "➡️"
+    out |= {join(a + t, *s, right) for a in "\U0001f6b6\U0001f3c3\U0001f9ce" for t in TONES for s in ((), *[(x,) for x in signs])}
+    out |= {join(a + t, aid, right) for a in (man, woman, person) for t in TONES for aid in "\U0001f9af\U0001f9bc\U0001f9bd"}
     # families of one or two adults and one or two children
     adults = [(man,), (woman,), (man, woman), (man, man), (woman, woman)]
     boy, girl = "\U0001f466", "\U0001f467"
     out |= {join(*a, *c) for a in adults for c in ((boy,), (girl,), (girl, boy), (boy, boy), (girl, girl))}
+    child = "\U0001f9d2"
+    out |= {join(*[person] * a, *[child] * c) for a in (1, 2) for c in (1, 2)}
     # single signs
     out |= {
         join("\U0001f3f3️", "\U0001f308"), join("\U0001f3f3️", "⚧️"), join("\U0001f3f4", "☠️"),
@@ -62,6 +77,8 @@ def generated() -> frozenset[str]:
         join("\U0001f62e", "\U0001f4a8"), join("\U0001f635", "\U0001f4ab"), join("\U0001f636", "\U0001f32b️"),
         join("\U0001f642", "↔️"), join("\U0001f642", "↕️"),
     }
+    if len(out) != WHOLE:
+        raise ValueError(f"{len(out)} sequences, not {WHOLE}")
     return frozenset(out)
 
 

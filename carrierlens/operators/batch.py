@@ -7,6 +7,7 @@ that order, one window a batch; a batch is bounded by its own limits, so no wind
 from __future__ import annotations
 
 import json
+import re
 import time
 
 import pyarrow as pa
@@ -78,9 +79,10 @@ def inspect_jsonl(lines: DataFrame, policy: Policy = Policy.BALANCED, limits: Li
     """
     limits = Limits() if limits is None else limits
     by = Window.partitionBy("batch_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    kept = lines.withColumn("_in", F.sum("size").over(by))
+    # records past the limit only tell that there are more; a line is read up to two bytes past its limit
+    kept = lines.where(F.col("ord") <= max_records + 1).withColumn("_in", F.sum(F.least("size", F.lit(limits.max_input_bytes + 2))).over(by))
     schema = StructType.fromDDL("batch_id string, ord long, size long, _in long, text string, held string")
-    texts = kept.select("batch_id", "ord", "size", "_in", "line").where(F.col("ord") <= max_records + 1).mapInArrow(_strings(limits.max_input_bytes), schema)
+    texts = kept.select("batch_id", "ord", "size", "_in", "line").mapInArrow(_strings(limits.max_input_bytes), schema)
     reports = inspect(texts, "text", policy, limits, held=F.col("held"))
     reports = reports.withColumn("_payload", json_length(report_json(REPORT), F.col("candidate_text")) + 1).withColumn("_out", F.sum("_payload").over(by)).withColumn("exit_code", exit_code())
     # what ends the batch at a record: before it is emitted, or with it
@@ -161,13 +163,18 @@ def _records(batches):
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def replay(lines: DataFrame, policy: Policy = Policy.BALANCED, max_records: int = REPLAY_RECORDS, max_total_bytes: int = REPLAY_BYTES, max_line_bytes: int = REPLAY_LINE) -> tuple[DataFrame, DataFrame]:
-    """Events (batch_id, record_index, ... never a text) and one summary row a batch, of lines(batch_id, ord, line, size)."""
+def replay(lines: DataFrame, policy: Policy = Policy.BALANCED, max_records: int = REPLAY_RECORDS, max_total_bytes: int = REPLAY_BYTES, max_line_bytes: int = REPLAY_LINE, pipeline_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events (batch_id, record_index, ... never a text) and one summary row a batch, of lines(batch_id, ord, line, size).
+
+    pipeline_id: an opaque id of the caller that the summary names; none: null.
+    """
+    if pipeline_id is not None and not re.search(OPAQUE_ID.replace(r"\z", r"\Z"), pipeline_id):
+        raise ValueError("pipeline_id must be an opaque ASCII id")
     if min(max_records, max_total_bytes, max_line_bytes) < 1:
         raise ValueError("trusted limits must be positive")
     by = Window.partitionBy("batch_id").orderBy("ord")
     running = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("_in", F.sum("size").over(running))
+    rows = lines.where(F.col("ord") <= max_records + 1).withColumn("_in", F.sum("size").over(running))
     stop = F.when(F.col("ord") > max_records, F.lit("BATCH_RECORD_LIMIT")).when(F.col("_in") > max_total_bytes, F.lit("BATCH_INPUT_LIMIT")).when(F.octet_length("line") > max_line_bytes, F.lit("RECORD_BYTE_LIMIT"))
     rows = rows.withColumn("_why", stop)
     first = F.min(F.when(F.col("_why").isNotNull(), F.struct("ord", F.col("_why").alias("why")))).over(Window.partitionBy("batch_id"))
@@ -200,5 +207,8 @@ def replay(lines: DataFrame, policy: Policy = Policy.BALANCED, max_records: int
     summary = totals.join(some, "batch_id", "left").join(each, "batch_id", "left")
     reason = F.coalesce(F.col("_why"), F.when(F.col("_held"), F.lit("INCOMPLETE_INSPECTION")), F.when(F.coalesce("processed_records", F.lit(0)) == 0, F.lit("EMPTY_REPLAY")))
     summary = summary.withColumn("incomplete_reason", reason)
-    summary = summary.select("batch_id", F.lit(policy.value).alias("policy_id"), F.when(F.col("incomplete_reason").isNull(), F.lit("replay_complete")).otherwise(F.lit("incomplete")).alias("status"), "incomplete_reason", F.coalesce("processed_records", F.lit(0)).alias("processed_records"), "input_bytes_read", "action_or_status_counts", F.coalesce("sample_count", F.lit(0)).alias("sample_count"), "median_ms", "p95_ms", F.lit(False).alias("release_claim_supported"))
+    # Version and kind of a summary, and what it never claims.
+    facts = [F.lit(1).alias("schema_version"), F.lit("local_shadow_replay").alias("kind"), F.lit(pipeline_id).cast("string").alias("pipeline_id")]
+    claims = [F.lit(0).alias("labels_reviewed"), F.lit(0).alias("independent_users"), F.lit(False).alias("production_pipeline_verified"), F.lit(False).alias("release_claim_supported")]
+    summary = summary.select("batch_id", *facts, F.lit(policy.value).alias("policy_id"), F.when(F.col("incomplete_reason").isNull(), F.lit("replay_complete")).otherwise(F.lit("incomplete")).alias("status"), "incomplete_reason", F.coalesce("processed_records", F.lit(0)).alias("processed_records"), "input_bytes_read", "action_or_status_counts", F.coalesce("sample_count", F.lit(0)).alias("sample_count"), "median_ms", "p95_ms", *claims)
     return events, summary

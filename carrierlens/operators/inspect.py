@@ -21,32 +21,41 @@ EVIDENCE = "array<struct<rule_id:string,category:string,severity:string,offset:i
 FINDING_BYTES, REST_BYTES = 400, 1_200
 
 
+def _apart(docs: DataFrame) -> str:
+    """A beginning of names that no column of docs has."""
+    at = "_"
+    while any(c.lower().startswith(at) for c in docs.columns):
+        at += "_"
+    return at
+
+
 def analyze(docs: DataFrame, text: str = "text", limits: Limits | None = None) -> DataFrame:
     """docs with verdict, findings, sanitized, stats and error: the verdict report over the whole text.
 
     Null text: error INVALID_TYPE. More characters than the limit: error INPUT_CHAR_LIMIT. Such rows have no verdict.
     """
     limits = Limits() if limits is None else limits
+    at = _apart(docs)
     t = F.col(f"`{text}`")
     error = F.when(t.isNull(), F.lit("INVALID_TYPE")).when(F.length(t) > limits.max_chars, F.lit("INPUT_CHAR_LIMIT"))
-    out = docs.withColumn("_t", F.when(error.isNull(), t)).withColumn("_n", scan.counts(F.col("_t")))
-    out = out.withColumn("_s", canonicalize(F.col("_t"))).withColumn("_r", scan.counts(F.col("_s")))
-    n, fine = F.col("_n"), F.col("_t").isNotNull()
+    out = docs.withColumn(f"{at}t", F.when(error.isNull(), t)).withColumn(f"{at}n", scan.counts(F.col(f"{at}t")))
+    out = out.withColumn(f"{at}s", canonicalize(F.col(f"{at}t"))).withColumn(f"{at}r", scan.counts(F.col(f"{at}s")))
+    n, fine = F.col(f"{at}n"), F.col(f"{at}t").isNotNull()
     stats = F.struct(
-        F.length("_t").alias("input_chars"),
-        F.length("_s").alias("sanitized_chars"),
-        (F.length("_t") - F.length("_s")).alias("chars_removed"),
+        F.length(f"{at}t").alias("input_chars"),
+        F.length(f"{at}s").alias("sanitized_chars"),
+        (F.length(f"{at}t") - F.length(f"{at}s")).alias("chars_removed"),
         scan.total(n).alias("finding_count"),
         scan.by_category(n).alias("by_category"),
         scan.by_severity(n).alias("by_severity"),
-        F.map_keys(scan.by_category(F.col("_r"))).alias("residual_categories"),
+        F.map_keys(scan.by_category(F.col(f"{at}r"))).alias("residual_categories"),
     )
-    out = out.withColumn("_h", scan.hits(F.col("_t"), n))
+    out = out.withColumn(f"{at}h", scan.hits(F.col(f"{at}t"), n))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.when(fine, scan.verdict(n)).alias("verdict"),
-        F.when(fine, scan.evidence(F.col("_h"), n)).alias("findings"),
-        F.col("_s").alias("sanitized"),
+        F.when(fine, scan.evidence(F.col(f"{at}h"), n)).alias("findings"),
+        F.col(f"{at}s").alias("sanitized"),
         F.when(fine, stats).alias("stats"),
         error.alias("error"),
     )
@@ -75,60 +84,65 @@ def inspect(docs: DataFrame, text: str = "text", policy: Policy = Policy.BALANCE
     """
     limits = Limits() if limits is None else limits
     checked(policy, limits)
+    at = _apart(docs)
     t = F.col(f"`{text}`")
     early = F.when(t.isNull(), F.lit("INVALID_TYPE")).when(F.length(t) > limits.max_chars, F.lit("INPUT_CHAR_LIMIT"))
     early = early if held is None else F.coalesce(held, early)
-    out = docs.withColumn("_early", early).withColumn("_t", F.when(F.col("_early").isNull(), t)).withColumn("_n", scan.counts(F.col("_t")))
-    n = F.col("_n")
+    out = docs.withColumn(f"{at}early", early).withColumn(f"{at}t", F.when(F.col(f"{at}early").isNull(), t)).withColumn(f"{at}n", scan.counts(F.col(f"{at}t")))
+    n = F.col(f"{at}n")
     around = None
     if policy is Policy.CONTEXTUAL:
-        out = out.withColumn("_c", context(F.col("_t"), sequences))
-        around = F.col("_c")
-    out = out.withColumn("_d", decide(n, policy, around))
-    scanned, error = F.col("_t").isNotNull(), F.col("_d.action").isNull()
+        out = out.withColumn(f"{at}c", context(F.col(f"{at}t"), sequences))
+        around = F.col(f"{at}c")
+    out = out.withColumn(f"{at}d", decide(n, policy, around))
+    scanned, error = F.col(f"{at}t").isNotNull(), F.col(f"{at}d.action").isNull()
     fine = scanned & ~error
-    kept = scan.retained(scan.hits(F.col("_t"), n), limits.max_findings)
-    out = out.withColumn("_f", F.when(fine, _with_rules(scan.evidence(kept, n))).otherwise(F.array().cast(EVIDENCE)))
+    kept = scan.retained(scan.hits(F.col(f"{at}t"), n), limits.max_findings)
+    out = out.withColumn(f"{at}f", F.when(fine, _with_rules(scan.evidence(kept, n))).otherwise(F.array().cast(EVIDENCE)))
     counted = F.when(fine, scan.total(n)).otherwise(0)
     columns = {
         "schema_version": F.lit(policy.schema_version),
         "policy_id": F.lit(policy.value),
-        "status": F.when(fine, F.lit("complete")).when(scanned, F.lit("error")).when(F.col("_early").endswith("LIMIT"), F.lit("limit_exceeded")).when(F.col("_early") == "INPUT_IO_ERROR", F.lit("error")).otherwise(F.lit("invalid_input")),
-        "action": F.when(fine, F.col("_d.action")),
-        "reason_codes": F.when(scanned, F.col("_d.reason_codes")).otherwise(F.array("_early")),
-        "findings": F.col("_f"),
+        "status": F.when(fine, F.lit("complete")).when(scanned, F.lit("error")).when(F.col(f"{at}early").endswith("LIMIT"), F.lit("limit_exceeded")).when(F.col(f"{at}early") == "INPUT_IO_ERROR", F.lit("error")).otherwise(F.lit("invalid_input")),
+        "action": F.when(fine, F.col(f"{at}d.action")),
+        "reason_codes": F.when(scanned, F.col(f"{at}d.reason_codes")).otherwise(F.array(f"{at}early")),
+        "findings": F.col(f"{at}f"),
         "finding_count_total": counted,
         "category_counts": F.when(fine, scan.by_category(n)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))),
         "findings_truncated": counted > limits.max_findings,
         "scan_complete": fine,
-        "candidate_text": F.when(F.col("_d.action") == "allow", F.col("_t")),
+        "candidate_text": F.when(F.col(f"{at}d.action") == "allow", F.col(f"{at}t")),
         "transformation": F.lit("preserve"),
     }
     mine = [c for c in docs.columns if c not in columns]
-    out = out.select(*[F.col(f"`{c}`") for c in mine], *[v.alias(k) for k, v in columns.items()], F.col("_t"))
+    out = out.select(*[F.col(f"`{c}`") for c in mine], *[v.alias(k) for k, v in columns.items()], F.col(f"{at}t"))
     # six bytes a character's escape, twelve a pair's: with limits that no report can reach there is nothing to check
     if 12 * limits.max_chars + FINDING_BYTES * limits.max_findings + REST_BYTES <= limits.max_output_bytes:
-        return out.drop("_t")
+        return out.drop(f"{at}t")
     worst = 12 * F.length(F.coalesce("candidate_text", F.lit(""))) + FINDING_BYTES * F.size("findings") + REST_BYTES
     long = F.when((F.col("status") == "complete") & (worst > limits.max_output_bytes), json_length(report_json(), F.col("candidate_text")) > limits.max_output_bytes).otherwise(F.lit(False))
-    out = out.withColumn("_long", long)
+    out = out.withColumn(f"{at}long", long)
     cut = {
         "status": F.lit("limit_exceeded"), "action": F.lit(None).cast("string"), "reason_codes": F.array(F.lit("OUTPUT_BYTE_LIMIT")),
         "findings": F.array().cast(EVIDENCE), "findings_truncated": F.col("finding_count_total") > 0, "candidate_text": F.lit(None).cast("string"),
     }
-    return out.select(*[F.col(f"`{c}`") for c in mine], *[(F.when(F.col("_long"), cut[c]).otherwise(F.col(c)).alias(c) if c in cut else F.col(c)) for c in REPORT])
+    return out.select(*[F.col(f"`{c}`") for c in mine], *[(F.when(F.col(f"{at}long"), cut[c]).otherwise(F.col(c)).alias(c) if c in cut else F.col(c)) for c in REPORT])
 
 
 def inspect_binary(docs: DataFrame, content: str = "content", policy: Policy = Policy.BALANCED, limits: Limits | None = None, length: str | None = None, sequences: frozenset[str] | None = None) -> DataFrame:
-    """inspect() of a binary column: a byte limit, then strict UTF-8, then the text. length: a column that knows the bytes."""
+    """inspect() of a binary column: a byte limit, then strict UTF-8, then the text.
+
+    length: a column that knows the bytes; below zero where the input could not be read (INPUT_IO_ERROR).
+    """
     limits = Limits() if limits is None else limits
     checked(policy, limits)
+    at = _apart(docs)
     raw = F.col(f"`{content}`")
     size = F.col(f"`{length}`") if length else F.octet_length(raw)
     text = raw.cast("string")
-    held = F.when(raw.isNull() & (F.lit(length is None) | (size <= limits.max_input_bytes)), F.lit("INVALID_TYPE")).when(size > limits.max_input_bytes, F.lit("INPUT_BYTE_LIMIT")).when(~F.is_valid_utf8(text), F.lit("INVALID_UTF8"))
-    rows = docs.withColumn("_held", held).withColumn("_text", F.when(F.col("_held").isNull(), text))
-    return inspect(rows, "_text", policy, limits, held=F.col("_held"), sequences=sequences).drop("_held", "_text")
+    held = F.when(F.lit(length is not None) & (size < 0), F.lit("INPUT_IO_ERROR")).when(raw.isNull() & (F.lit(length is None) | (size <= limits.max_input_bytes)), F.lit("INVALID_TYPE")).when(size > limits.max_input_bytes, F.lit("INPUT_BYTE_LIMIT")).when(~F.is_valid_utf8(text), F.lit("INVALID_UTF8"))
+    rows = docs.withColumn(f"{at}held", held).withColumn(f"{at}text", F.when(F.col(f"{at}held").isNull(), text))
+    return inspect(rows, f"{at}text", policy, limits, held=F.col(f"{at}held"), sequences=sequences).drop(f"{at}held", f"{at}text")
 
 
 #: Fields of a finding.

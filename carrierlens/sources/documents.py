@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +66,7 @@ def fixtures(spark: SparkSession, path: str) -> DataFrame:
 def emoji_extract(lines: DataFrame, *kinds: str) -> DataFrame:
     """sequence (code points in hexadecimal) of a public emoji data file's lines(value) of the wanted types.
 
-    Ranges (a..b) are refused: error is set on such rows. Repeats are kept, for the caller to refuse.
+    Ranges (a..b) are refused: error is set on such rows. Repeats are kept, see repeats().
     """
     body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     parts = F.split(F.substring_index("value", "#", 1), ";")
@@ -76,5 +74,6 @@ def emoji_extract(lines: DataFrame, *kinds: str) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("sequence").contains(".."), F.lit("RANGE")))
 
 
-def local_file(path: str) -> bytes:
-    return Path(path).read_bytes()
+def repeats(extract: DataFrame) -> DataFrame:
+    """sequence, n of what an extract has more than once; a table is whole only if there is none."""
+    return extract.groupBy("sequence").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

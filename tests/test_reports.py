@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carrierlens import Limits, Policy, analyze, inspect, inspect_binary
 from carrierlens.functions.canonical import canonical_text, nfkc
-from carrierlens.functions.context import generated, read_sequences, recognise
+from carrierlens.functions.context import WHOLE, generated, read_sequences, recognise
 from carrierlens.operators.inspect import REPORT, exit_code, report_json
 
 
@@ -97,6 +97,9 @@ def test_hostile_marks_take_little_time():
         ("\U0001f468‍\U0001f469‍\U0001f467‍\U0001f466‍", (0, 0, 0, 4)),
         ("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", (0, 6, 0, 0)),
         ("\U0001f3f4\U000e0067\U000e0062\U000e007f", (0, 0, 0, 0)),
+        ("\U0001f9d1\U0001f3fb‍❤️‍\U0001f9d1\U0001f3fc", (2, 0, 0, 0)),
+        ("\U0001f6b6\U0001f3fd‍♀️‍➡️", (2, 0, 0, 0)),
+        ("\U0001f9d1‍\U0001f9d1‍\U0001f9d2", (2, 0, 0, 0)),
         ("⁧של⁩", (0, 0, 2, 0)),
         ("⁦של⁩", (0, 0, 0, 0)),
         ("⁧ש a⁩", (0, 0, 0, 0)),
@@ -107,6 +110,7 @@ def test_hostile_marks_take_little_time():
     ],
 )
 def test_contexts(text, want):
+    assert len(generated()) == WHOLE
     assert recognise(text, generated()) == want
 
 

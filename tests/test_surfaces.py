@@ -1,9 +1,11 @@
+import io
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from carrierlens import analyze, cli, inspect
+from carrierlens import Limits, analyze, cli, inspect
 from carrierlens.functions import generators as G
 from carrierlens.functions import preview
 from carrierlens.functions.sql import register
@@ -152,3 +154,54 @@ def test_stress_texts(spark):
     rows = inspect(evaluate.stress(spark, 4096)).select("family", "action", "finding_count_total").collect()
     got = {r.family: (r.action, r.finding_count_total) for r in rows}
     assert got["zero_width"] == ("review", 4096) and got["late_override"] == ("block", 1) and got["ascii"] == ("allow", 0) and got["mixed_script"] == ("review", 2048)
+
+
+def test_cli_input(spark, tmp_path, capsys, monkeypatch):
+    def run(*argv, piped=b""):
+        monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(piped)))
+        code = cli.main(list(argv), spark)
+        return code, capsys.readouterr().out
+
+    none = str(tmp_path / "none")
+    for more in ([], ["--jsonl"]):
+        code, out = run("--inspect", *more, "-f", none)
+        assert code == 4 and (json.loads(out)["status"], json.loads(out)["reason_codes"]) == ("error", ["INPUT_IO_ERROR"])
+    assert run("-f", none)[0] == 2
+    for argv in (["-"], []):
+        code, out = run(*argv, piped="pаypal".encode())
+        assert code == 2 and json.loads(out)["verdict"] == "malicious"
+    code, out = run("--inspect", "--jsonl", "--max-records", "2", piped=b'"a"\n"b"\n"c"\n')
+    assert code == 4 and len(out.splitlines()) == 2
+    events = tmp_path / "events.jsonl"
+    code, out = run("--replay", "pipe", "--events", str(events), piped=b'{"source_id":"a","text":"fine"}\n')
+    summary, event = json.loads(out), json.loads(events.read_text())
+    assert code == 0 and (summary["schema_version"], summary["kind"], summary["pipeline_id"], summary["processed_records"]) == (1, "local_shadow_replay", "pipe", 1)
+    assert summary["independent_users"] == 0 and summary["production_pipeline_verified"] is False and event["source_id"] == "a" and "text" not in event
+    for bad in ([""], ["x", "--inspect", "--max-records", "0"], ["--replay", "no id", "-f", "x"], ["x", "--events", "y"]):
+        with pytest.raises(SystemExit):
+            cli.arguments(bad)
+
+
+def test_lines_are_read_within_limits():
+    source = io.BytesIO(b"x" * 50 + b"\n1\n")
+    assert [(k, len(line), size) for _, k, line, size in cli._lines(source, 10, 1000, 5)] == [(1, 12, 12)] and source.tell() == 12
+    assert [k for _, k, *_ in cli._lines(io.BytesIO(b"1\n2\n3\n4\n"), 10, 3, 5)] == [1, 2]
+    assert [k for _, k, *_ in cli._lines(io.BytesIO(b"1\n2\n3\n4\n"), 10, 100, 2)] == [1, 2, 3]
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([("a\u200bb", 1, 2, 3, 4)], "text string, _t int, _n int, _F int, __h int")
+    for out in (analyze(docs), inspect(docs)):
+        row = out.first()
+        assert [row[c] for c in docs.columns] == list(docs.first())
+
+
+def test_page_counts_and_truncation(spark):
+    docs = spark.createDataFrame([("a" + "\u200b" * 9,)], "text string")
+    html = viewer.render(inspect(docs, limits=Limits(max_findings=6))).first()["html"]
+    assert "9 findings, 6 listed" in html and "ZERO_WIDTH 9" in html and "the counts are of all" in html and 'role="status"' in html
+
+
+def test_repeated_sequences(spark):
+    data = spark.createDataFrame([("1F468 200D 1F469 ; ZWJ # x",), ("1F600 200D ; ZWJ",), ("1F600 200D ; ZWJ",)], "value string")
+    assert [tuple(r) for r in documents.repeats(documents.emoji_extract(data, "ZWJ")).collect()] == [("1F600 200D", 2)]
