@@ -247,12 +247,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 #: Texts are near copies if their sets of shingles share 4 of 5 of the union.
 SHARE = (4, 5)
-#: Candidates meet under any of BANDS bands of DEEP minima: of pairs at 0.8, (1 - 0.8 ** 7) ** 64 = 3e-7 never meet.
-BANDS, DEEP = 64, 7
-_TIMES = (mix(np.arange(1, 1 + BANDS * DEEP, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_FLIPS = mix(np.arange(1, 1 + BANDS * DEEP, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
-#: Shingles whose minima are taken at once; candidate texts whose sets are compared in one task, about.
-MINIMA, TOGETHER = 512, 1000
+#: A text has PRINTS fingerprints of WORDS words, 16 positional bytes each; one of at most FEW shingles has twice as many.
+PRINTS, WORDS, FEW = 6, 2, 5
+BYTES = 8 * WORDS
+#: Candidates share LEAST positional bytes of a fingerprint, and it differs in at most WIDE of its 128 bits.
+LEAST, WIDE = 2, 30
+#: Lists up to SHORT are compared by neighbours at every offset; one with over DENSE links a member is spanned.
+SHORT, DENSE = 32, 8
+_STREAMS = np.arange(1, 1 + 2 * PRINTS * WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_LANES = np.uint64(0x0101010101010101)
+#: Bits of the sieve that keeps the sets of most texts without candidates out of the exchange: 8 MB whatever the table.
+SIEVE = 1 << 26
+#: Shingles whose bits are counted at once; candidate texts whose sets are compared in one task, about.
+COUNTED, TOGETHER = 1 << 14, 1000
 #: Bytes of the sets of a group of candidates that is compared in one task; larger groups are compared by pairs of blocks.
 GROUP_BYTES = 64 << 20
 
@@ -261,18 +268,32 @@ def shingle_set(raw: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(raw, size))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of shingle hashes: each of DEEP minima of the hashes, differently mixed."""
-    h, least = hashes.astype(np.uint32), np.full(BANDS * DEEP, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), MINIMA):
-        mixed = h[None, at : at + MINIMA] ^ _FLIPS[:, None]
-        mixed *= _TIMES[:, None]
-        np.minimum(least, mixed.min(1), out=least)
-    rows = least.reshape(BANDS, DEEP).astype(np.uint64)
-    keys = mix(np.arange(BANDS, dtype=np.uint64))
-    for d in range(DEEP):
-        keys = mix(keys ^ rows[:, d])
-    return keys
+def sketches(sets: list[np.ndarray], start: int = 0) -> np.ndarray:
+    """PRINTS fingerprints of each set (none empty), from the one numbered start: a row of PRINTS * WORDS words.
+
+    A bit is 1 if set in over half of the shingle hashes, mixed anew for every word.
+    """
+    words, sizes = PRINTS * WORDS, np.array([len(s) for s in sets], np.int64)
+    ones = np.zeros((len(sets), words, 8, 8), np.int32)  # by bit of the byte and byte of the word
+    if not len(sets):
+        return np.empty((0, words), np.uint64)
+    # runs of at most 255 hashes of a set: eight counts fit into the bytes of a word
+    flat, runs = np.concatenate(sets), -(-sizes // 255)
+    of = np.repeat(np.arange(len(sets)), runs)
+    begin = np.repeat(np.cumsum(sizes) - sizes, runs) + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs))
+    edges = np.unique(np.r_[np.searchsorted(begin, np.arange(0, len(flat), COUNTED)), len(of)])
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        h = flat[begin[low] : begin[high] if high < len(of) else len(flat)]
+        at, counts = begin[low:high] - begin[low], np.empty((high - low, words, 8, 8), np.uint8)
+        for w in range(words):
+            mixed = mix(h + _STREAMS[start * WORDS + w])
+            for bit in range(8):
+                lanes = np.add.reduceat(mixed >> np.uint64(bit) & _LANES, at)
+                counts[:, w, bit] = lanes.astype("<u8").view(np.uint8).reshape(-1, 8)
+        heads = np.flatnonzero(np.r_[True, of[low + 1 : high] != of[low : high - 1]])
+        ones[of[low:high][heads]] += np.add.reduceat(counts, heads, axis=0, dtype=np.int32)
+    most = 2 * ones > sizes[:, None, None, None]
+    return np.packbits(most.swapaxes(2, 3), axis=-1, bitorder="little").reshape(len(sets), 8 * words).view("<u8")
 
 
 def _sets(size: int):
@@ -280,41 +301,190 @@ def _sets(size: int):
         for batch in batches:
             sets = [shingle_set(t or b"", size) for t in batch["text"].cast(pa.binary()).to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            keys = [bands(s).tobytes() if len(s) else b"" for s in sets]
-            yield as_batch({"doc_id": batch["doc_id"], "id": pa.array(ids), "keys": pa.array(keys, pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            prints = [b""] * len(sets)
+            for start, some in ((0, [k for k, s in enumerate(sets) if len(s)]), (PRINTS, [k for k, s in enumerate(sets) if 0 < len(s) <= FEW])):
+                for k, row in zip(some, sketches([sets[k] for k in some], start), strict=True):
+                    prints[k] += row.tobytes()
+            yield as_batch({"doc_id": batch["doc_id"], "id": pa.array(ids), "prints": pa.array(prints, pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
 
-def _post_bands(parts: int):
-    """Rows (bucket, postings): pairs (key, id) of every set under its keys, gathered by bucket of the key."""
+def _gather(part: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.argsort(part, kind="stable")
+    values, first = np.unique(part[order], return_index=True)
+    return [(int(p), rows[own].tobytes()) for p, own in zip(values, np.split(order, first[1:]), strict=True)]
+
+
+def _octets(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, :WORDS]).view(np.uint8)
+
+
+def _post_prints(parts: int):
+    """Rows (bucket, postings): each fingerprint with its text's id in the list of each of its positional bytes.
+
+    A bucket has some lists of one position; the last positions can't be the first of LEAST.
+    """
 
     def run(batches):
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch["keys"].to_pylist()), np.uint64)
-            has = np.array([len(k) > 0 for k in batch["keys"].to_pylist()], bool)
-            ids = np.repeat(batch["id"].to_numpy().view(np.uint64)[has], BANDS)
-            both = np.stack([keys, ids], 1)
-            part = (keys % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(edges))
-            blobs = [both[order[edges[p] : edges[p + 1]]].tobytes() for p in some]
-            yield as_batch({"bucket": pa.array(some, pa.int64()), "postings": pa.array(blobs, pa.binary())})
+            prints, ids = batch["prints"].to_pylist(), batch["id"].to_numpy().view(np.uint64)
+            buckets, blobs = [], []
+            for f in range(2 * PRINTS):
+                has = [k for k, p in enumerate(prints) if len(p) > f * BYTES]
+                words = np.frombuffer(b"".join([prints[k][f * BYTES : (f + 1) * BYTES] for k in has]), np.uint64).reshape(-1, WORDS)
+                rows = np.column_stack([words, ids[has]])
+                octets = _octets(rows)
+                for i in range(BYTES - LEAST + 1 if has else 0):
+                    for p, blob in _gather(octets[:, i].astype(np.int64) % parts, rows):
+                        buckets.append((f * BYTES + i) * parts + p)
+                        blobs.append(blob)
+            yield as_batch({"bucket": pa.array(buckets, pa.int64()), "postings": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _post_prints_again(parts: int):
+    """Rows (bucket, other, part, postings) of buckets with n postings: these by each later position and both bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows, n = np.frombuffer(r["postings"], np.uint64).reshape(-1, WORDS + 1), r["n"] // BUCKET + 1
+                octets, i = _octets(rows).astype(np.uint64), r["bucket"] // parts % BYTES
+                out = {"other": [], "part": [], "postings": []}
+                for j in range(i + 1, BYTES):
+                    for p, blob in _gather((mix(octets[:, i] << np.uint64(8) | octets[:, j]) % np.uint64(n)).astype(np.int64), rows):
+                        out["other"].append(j)
+                        out["part"].append(p)
+                        out["postings"].append(blob)
+                yield as_batch({"bucket": pa.array([r["bucket"]] * len(out["other"]), pa.int64()), "other": pa.array(out["other"], pa.int64()), "part": pa.array(out["part"], pa.int64()), "postings": pa.array(out["postings"], pa.binary())})
+
+    return run
+
+
+def apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ; their words are along the first axis."""
+    return sum(np.bitwise_count(a ^ b) for a, b in zip(one, other, strict=True))
+
+
+def spanned(prints: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (first, other) of links that span the components of a list under the bit distance."""
+    a, b, rest = [], [], np.arange(prints.shape[1])
+    while len(rest) > 1:
+        seed, rest = rest[:1], rest[1:]
+        front = seed
+        while len(front) and len(rest):
+            step, reached = max(1, (1 << 20) // len(rest)), []
+            for at in range(0, len(front), step):
+                near = (apart(prints[:, front[at : at + step], None], prints[:, None, rest]) <= wide).any(0)
+                reached.append(rest[near])
+                rest = rest[~near]
+                if not len(rest):
+                    break
+            front = np.concatenate(reached)
+            a.append(np.repeat(seed, len(front)))
+            b.append(front)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def long_list(prints: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs of a list within the bit distance, or of links that span its components if they are many."""
+    n, total, a, b = prints.shape[1], 0, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = max(1, (1 << 20) // n)
+    for at in range(0, n, step):
+        near = apart(prints[:, at : at + step, None], prints[:, None, at:]) <= wide
+        if np.count_nonzero(near) == np.count_nonzero(near.diagonal()):
+            continue
+        one, other = np.nonzero(near)
+        a.append(one[one < other] + at)
+        b.append(other[one < other] + at)
+        total += len(a[-1])
+        if total > DENSE * n:
+            return spanned(prints, wide)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def posted_pairs(rows: np.ndarray, i: int, others: range, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of postings (words, id) in one list of position i that share one of the other positional bytes.
+
+    The shared bytes of each pair are tallied; a pair of a short list that has LEAST and is within the bit distance is
+    told where the tally gets there, so once. Long lists of many links yield what spans them.
+    """
+    octets, words = np.ascontiguousarray(_octets(rows).T), np.ascontiguousarray(rows[:, :WORDS].T)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for j in others:
+        key = octets[i].astype(np.uint16) << np.uint16(8) | octets[j]
+        order = np.argsort(key, kind="stable")
+        key, prints = key[order], np.stack([w[order] for w in words])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[first, len(key)])
+        hit = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
+        for d in range(1, SHORT):
+            hit = hit[hit + d < len(key)]
+            hit = hit[key[hit] == key[hit + d]]
+            if not len(hit):
+                break
+            near = hit[apart([w[hit] for w in prints], [w[hit + d] for w in prints]) <= wide]
+            tallied = np.cumsum(_octets((prints[:, near] ^ prints[:, near + d]).T) == 0, 1)
+            near = near[(tallied[:, j] == LEAST) & (tallied[:, -1] >= LEAST)]
+            a.append(order[near])
+            b.append(order[near + d])
+        for k in np.flatnonzero(sizes > SHORT):
+            own = order[first[k] : first[k] + sizes[k]]
+            one, other = long_list(prints[:, first[k] : first[k] + sizes[k]], wide)
+            a.append(own[one])
+            b.append(own[other])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Links (one, other) that span what the pairs of row numbers connect."""
+    root = np.arange(len(ids))
+    while len(a):
+        one, other = root[a], root[b]
+        far = one != other
+        a, b, one, other = a[far], b[far], one[far], other[far]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while (root[root] != root).any():
+            root = root[root]
+    member = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[root[member]]), "b": pa.array(ids[member])})
+
+
+def _meet(parts: int, wide: int):
+    """Links of the candidates of a bucket of lists, or of those of one other position of a bucket posted again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i = table["bucket"][0].as_py() // parts % BYTES
+        others = range(i + 1, BYTES)
+        if "other" in table.column_names:
+            others = [table["other"][0].as_py()]
+        rows = np.frombuffer(b"".join(table["postings"].to_pylist()), np.uint64).reshape(-1, WORDS + 1)
+        return _stars(rows[:, WORDS].view(np.int64), *posted_pairs(rows, i, others, wide))
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Links (smallest, others) of the ids under each key of a bucket."""
-    rows = np.frombuffer(b"".join(table["postings"].to_pylist()), np.uint64).reshape(-1, 2)
-    keys, ids = rows[:, 0], rows[:, 1].view(np.int64)
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    least = np.repeat(ids[first], np.diff(np.r_[first, len(keys)]))
-    pairs = np.unique(np.stack([least, ids], 1)[least != ids], axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def _sieve(met: DataFrame, bits: int) -> np.ndarray:
+    """Words whose bits are set at the ids of met(node), modulo bits (a power of two)."""
+    at = met.select(F.col("node").bitwiseAND(F.lit(bits - 1).cast("long")).alias("at"))
+    table = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("held")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
+    words[table["word"].to_numpy()] = table["held"].to_numpy().view(np.uint64)
+    return words
+
+
+def _sift(words):
+    """Rows whose id may be in the broadcast words of a sieve: all that are, and a few more."""
+
+    def run(batches):
+        for batch in batches:
+            held = words.value
+            at = batch["id"].to_numpy().view(np.uint64) & np.uint64(len(held) * 64 - 1)
+            yield batch.filter(pa.array((held[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return run
 
 
 def _pack_sets(parts: int):
@@ -392,19 +562,35 @@ def _verify(table: pa.Table) -> pa.Table:
 def similar_texts(docs: DataFrame, shingle: int = 5, name: str = "similar") -> DataFrame:
     """doc_id, component_id of every row of docs(doc_id, text): components of texts of a similarity of 0.8 and more.
 
-    Similarity: what the sets of shingles of two texts share, of their union. Texts that share a band of minima, and all
-    that such pairs connect, are candidates; within such a group the exact sets of all are compared, so nothing below
-    0.8 is linked, and of the pairs at 0.8 and above all are but the 3e-7 (at 0.8; fewer above) without a shared band.
+    Similarity: what the sets of shingles of two texts share, of their union. Texts at 0.8 lie some 19 of 128 bits apart,
+    so no byte is guaranteed to match; a text therefore has PRINTS fingerprints. Each is posted in the lists of its
+    positional bytes, the shared bytes of pairs are tallied, and pairs with LEAST are verified by the bit distance:
+    these, and all that such pairs connect, are candidates. Within such a group the exact sets of all are compared, so
+    nothing below 0.8 is linked, and of the pairs at 0.8 and above all are but the 2e-7 (at 0.8; fewer above) that meet
+    in no fingerprint.
     A group of more than GROUP_BYTES is cut into blocks, and each pair of blocks is compared in a task of its own. component_id: the smallest doc_id reachable. Nulls, empty texts, repeats: as
     near_duplicates().
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(rows.mapInArrow(_sets(shingle), "doc_id long, id long, keys binary, shingles binary"), "sets")
-    keys = rows.select("id", "keys").dropDuplicates(["id"])
-    parts = max(1, -(-rows.count() * BANDS // BUCKET))
-    met = components(keys.mapInArrow(_post_bands(parts), "bucket long, postings binary").groupBy("bucket").applyInArrow(_meet, "a long, b long"), f"{name}-met")
-    candidates = rows.select("id", "shingles").dropDuplicates(["id"]).join(met.withColumnRenamed("node", "id"), "id")
+    rows = cut(rows.mapInArrow(_sets(shingle), "doc_id long, id long, prints binary, shingles binary"), "sets")
+    prints = rows.select("id", "prints").dropDuplicates(["id"])
+    parts = min(256, max(1, -(-rows.count() // BUCKET)))
+    posted = prints.mapInArrow(_post_prints(parts), "bucket long, postings binary")
+    busy = None
+    if parts > 1:  # else no bucket has more than BUCKET
+        posted = (prints := cut(prints, f"{name}-prints")).mapInArrow(_post_prints(parts), "bucket long, postings binary")
+        busy = cut(posted.groupBy("bucket").agg((F.sum(F.octet_length("postings")) / (8 * WORDS + 8)).cast("long").alias("n")).where(F.col("n") > HOT), f"{name}-busy")
+    some = busy is not None and not busy.isEmpty()
+    found = (posted.join(busy, "bucket", "left_anti") if some else posted).groupBy("bucket").applyInArrow(_meet(parts, WIDE), "a long, b long")
+    if some:
+        again = posted.join(busy, "bucket").mapInArrow(_post_prints_again(parts), "bucket long, other long, part long, postings binary")
+        found = found.unionByName(again.groupBy("bucket", "other", "part").applyInArrow(_meet(parts, WIDE), "a long, b long"))
+    met = components(found, f"{name}-met")
+    for old in (prints, busy):
+        drop(old)
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(met, SIEVE))
+    candidates = rows.select("id", "shingles").mapInArrow(_sift(sieve), "id long, shingles binary").dropDuplicates(["id"]).join(met.withColumnRenamed("node", "id"), "id")
     # blocks of half the bytes of each group; a group of one block is a task's, else each row goes to every pair of its block
     sized = rows.select("id", F.octet_length("shingles").alias("n")).dropDuplicates(["id"]).join(met.withColumnRenamed("node", "id"), "id")
     sized = sized.groupBy("root").agg(F.sum("n").cast("long").alias("n")).withColumn("blocks", F.ceil(2 * F.col("n") / GROUP_BYTES))

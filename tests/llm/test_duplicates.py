@@ -259,3 +259,73 @@ def test_similar_texts_are_those_of_brute_force(spark):
     near = [jaccard(sets[2 * k], sets[2 * k + 1]) for k in range(150)]
     assert sum(0.8 <= s < 0.85 for s in near) > 15 and sum(0.7 < s < 0.8 for s in near) > 15
     assert [got[k] for k in range(len(texts))] == roots(len(texts), linked)
+
+
+def test_similar_texts_meet_in_fingerprints(spark, monkeypatch):
+    """Where no fingerprint is near enough, nothing is compared: there is no other way to a link."""
+    texts = near_copies(3, 40)
+    comp = lambda: {r.component_id for r in simhash.similar_texts(docs(spark, texts)).collect()}
+    assert len(comp()) < len(set(texts))
+    monkeypatch.setattr(simhash, "WIDE", -1)
+    assert len(comp()) == len(set(texts))
+
+
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 4, 255, 256, 3, 20_000, 700)]
+    for start in (0, simhash.PRINTS):
+        got = simhash.sketches(sets, start)
+        for own, row in zip(sets, got, strict=True):
+            streams = simhash._STREAMS[start * simhash.WORDS :][: simhash.PRINTS * simhash.WORDS]
+            assert row.tolist() == [simhash.majority(simhash.mix(own + x)) for x in streams]
+    assert simhash.sketches([]).shape == (0, simhash.PRINTS * simhash.WORDS)
+
+
+def test_pairs_are_told_by_the_tally_of_their_bytes(monkeypatch):
+    """Posted pairs are all that share two positional bytes within the distance, once; long lists span the same."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, (60, 2), dtype=np.uint64)
+    flips = np.packbits(rng.random((240, 128)) < 0.12, axis=1).view(np.uint64)
+    prints = np.concatenate([base, np.repeat(base, 4, axis=0) ^ flips])
+    rows = np.column_stack([prints, np.arange(len(prints), dtype=np.uint64)])
+    differ = prints[:, None] ^ prints[None]
+    near = (np.bitwise_count(differ).sum(2) <= simhash.WIDE) & ((differ.view(np.uint8) == 0).sum(2) >= simhash.LEAST)
+    want = [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b]
+
+    def told():
+        out = []
+        for i in range(simhash.BYTES - 1):
+            lists = [rows[rows[:, :2].copy().view(np.uint8)[:, i] == v] for v in range(256)]
+            for some in [x for x in lists if len(x)]:
+                out += [tuple(sorted(int(some[k, 2]) for k in p)) for p in zip(*simhash.posted_pairs(some, i, range(i + 1, simhash.BYTES), simhash.WIDE), strict=True)]
+        return out
+
+    assert len(want) > 150 and sorted(told()) == want
+    for dense in (0, 8):
+        monkeypatch.setattr(simhash, "SHORT", 1)
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        assert set(told()) >= set(want) if dense else roots(len(rows), told()) == roots(len(rows), want)
+
+
+def test_busy_lists_are_posted_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 60)
+    monkeypatch.setattr(simhash, "HOT", 20)
+    test_similar_texts_are_those_of_brute_force(spark)
+
+
+def test_short_texts_at_the_limit_are_linked(spark):
+    """Four shingles of five, where a bit differs most often: each text and the same with a word more."""
+    rng = random.Random(6)
+    own = [" ".join(f"w{rng.randint(0, 99_999)}" for _ in range(8)) for _ in range(2000)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs(spark, [*own, *(f"{t} more" for t in own)])).collect()}
+    assert all(got[k] == got[k + 2000] == k for k in range(2000))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_a_full_sieve_loses_no_candidate(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "SIEVE", bits)
+    ids = [-1, -(2**63), 2**63 - 1, 0, 63, 64, *(int(x) for x in np.random.default_rng(7).integers(-(2**63), 2**63, 300))]
+    words = simhash._sieve(spark.createDataFrame([(i,) for i in ids], "node long"), bits)
+    at = {i % bits for i in ids}
+    assert {k for k in range(bits) if int(words[k >> 6]) >> (k & 63) & 1} == at
+    test_similar_texts(spark)
