@@ -252,6 +252,10 @@ PRINTS, WORDS, FEW = 6, 2, 5
 BYTES = 8 * WORDS
 #: Candidates share LEAST positional bytes of a fingerprint, and it differs in at most WIDE of its 128 bits.
 LEAST, WIDE = 2, 30
+#: Buckets of the first position's lists at least; each text is in one of these lists.
+HEADS = 8
+#: Where fingerprints are posted, by number and position; the last positions can't be the first of LEAST.
+PLACES = [(f, i) for f in range(2 * PRINTS) for i in range(BYTES - LEAST + 1)]
 #: Lists up to SHORT are compared by neighbours at every offset; one with over DENSE links a member is spanned.
 SHORT, DENSE = 32, 8
 _STREAMS = np.arange(1, 1 + 2 * PRINTS * WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -320,22 +324,22 @@ def _octets(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[:, :WORDS]).view(np.uint8)
 
 
-def _post_prints(parts: int):
-    """Rows (bucket, postings): each fingerprint with its text's id in the list of each of its positional bytes.
+def _post_prints(places: list[tuple[int, int]], parts: int):
+    """Rows (bucket, postings): each fingerprint with its text's id in the list of each of its bytes at places.
 
-    A bucket has some lists of one position; the last positions can't be the first of LEAST.
+    A bucket has some lists of one position.
     """
 
     def run(batches):
         for batch in batches:
             prints, ids = batch["prints"].to_pylist(), batch["id"].to_numpy().view(np.uint64)
             buckets, blobs = [], []
-            for f in range(2 * PRINTS):
+            for f in sorted({f for f, _ in places}):
                 has = [k for k, p in enumerate(prints) if len(p) > f * BYTES]
                 words = np.frombuffer(b"".join([prints[k][f * BYTES : (f + 1) * BYTES] for k in has]), np.uint64).reshape(-1, WORDS)
                 rows = np.column_stack([words, ids[has]])
                 octets = _octets(rows)
-                for i in range(BYTES - LEAST + 1 if has else 0):
+                for i in [i for g, i in places if g == f and has]:
                     for p, blob in _gather(octets[:, i].astype(np.int64) % parts, rows):
                         buckets.append((f * BYTES + i) * parts + p)
                         blobs.append(blob)
@@ -409,8 +413,9 @@ def posted_pairs(rows: np.ndarray, i: int, others: range, wide: int) -> tuple[np
     """Row numbers of pairs of postings (words, id) in one list of position i that share one of the other positional bytes.
 
     The shared bytes of each pair are tallied; a pair of a short list that has LEAST and is within the bit distance is
-    told where the tally gets there, so once. Long lists of many links yield what spans them.
+    told where the tally gets there, so once. Long lists of many links yield what spans them, those of one id nothing.
     """
+    ids = rows[:, WORDS]
     octets, words = np.ascontiguousarray(_octets(rows).T), np.ascontiguousarray(rows[:, :WORDS].T)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for j in others:
@@ -432,15 +437,17 @@ def posted_pairs(rows: np.ndarray, i: int, others: range, wide: int) -> tuple[np
             b.append(order[near + d])
         for k in np.flatnonzero(sizes > SHORT):
             own = order[first[k] : first[k] + sizes[k]]
+            if (ids[own] == ids[own[0]]).all():
+                continue
             one, other = long_list(prints[:, first[k] : first[k] + sizes[k]], wide)
             a.append(own[one])
             b.append(own[other])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Links (one, other) that span what the pairs of row numbers connect."""
-    root = np.arange(len(ids))
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n row numbers that each is connected to by pairs of these."""
+    root = np.arange(n)
     while len(a):
         one, other = root[a], root[b]
         far = one != other
@@ -448,10 +455,36 @@ def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
         np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
         while (root[root] != root).any():
             root = root[root]
+    return root
+
+
+def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Links (one, other) between ids, which may repeat, that span what the pairs of row numbers connect; an id is other once at most."""
+    ids, row = np.unique(ids, return_inverse=True)
+    root = _roots(len(ids), row[a], row[b])
     member = np.flatnonzero(root != np.arange(len(ids)))
     return pa.table({"a": pa.array(ids[root[member]]), "b": pa.array(ids[member])})
 
 
+def _postings(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["postings"].to_pylist()), np.uint64).reshape(-1, WORDS + 1)
+
+
+def _gathered(wide: int):
+    """Links of the candidates among the texts of a bucket, by every position; what is linked already is one label to later ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _postings(table).copy()
+        ids, root = rows[:, WORDS].copy(), np.arange(len(rows))
+        for i in range(BYTES - 1):
+            one, other = posted_pairs(rows, i, range(i + 1, BYTES), wide)
+            root = _roots(len(rows), np.r_[np.arange(len(rows)), one], np.r_[root, other])
+            rows[:, WORDS] = ids[root]
+        return _stars(ids.view(np.int64), np.arange(len(rows)), root)
+
+    return run
+
+
 def _meet(parts: int, wide: int):
     """Links of the candidates of a bucket of lists, or of those of one other position of a bucket posted again."""
 
@@ -460,12 +493,47 @@ def _meet(parts: int, wide: int):
         others = range(i + 1, BYTES)
         if "other" in table.column_names:
             others = [table["other"][0].as_py()]
-        rows = np.frombuffer(b"".join(table["postings"].to_pylist()), np.uint64).reshape(-1, WORDS + 1)
+        rows = _postings(table)
         return _stars(rows[:, WORDS].view(np.int64), *posted_pairs(rows, i, others, wide))
 
     return run
 
 
+def _busy(posted: DataFrame, name: str) -> DataFrame:
+    """The buckets of more than HOT postings, and how many these are."""
+    return cut(posted.groupBy("bucket").agg((F.sum(F.octet_length("postings")) / (8 * WORDS + 8)).cast("long").alias("n")).where(F.col("n") > HOT), f"{name}-busy")
+
+
+def _met(prints: DataFrame, name: str) -> DataFrame:
+    """Components of the candidates by fingerprints prints(id, prints), ids distinct: node, root.
+
+    Each text is in one list of the first place, so in one bucket of these. What the texts of such a bucket span, by all
+    positions, names each of them once, by its label. All other lists hold labels and link these only: a group is not
+    spanned anew in each list that it is in.
+    """
+    n = prints.count()
+    parts = min(256, max(1, -(-n // BUCKET)))
+    heads = max(HEADS, parts)
+    posted = prints.mapInArrow(_post_prints(PLACES[:1], heads), "bucket long, postings binary")
+    hot = _busy(posted, name) if n > HOT else None  # else no bucket has so many
+    whole = hot is None or hot.isEmpty()
+    first = (posted if whole else posted.join(hot, "bucket", "left_anti")).groupBy("bucket").applyInArrow(_gathered(WIDE), "a long, b long")
+    first = cut(first, f"{name}-first")
+    labels = prints.join(first.select(F.col("b").alias("id"), F.col("a").alias("label")), "id", "left")
+    labels = cut(labels.select(F.coalesce("label", "id").alias("id"), "prints"), f"{name}-labels")
+    posted = labels.mapInArrow(_post_prints(PLACES[1:] if whole else PLACES, parts), "bucket long, postings binary")
+    busy = _busy(posted, name) if n > HOT else None
+    some = busy is not None and not busy.isEmpty()
+    found = (posted.join(busy, "bucket", "left_anti") if some else posted).groupBy("bucket").applyInArrow(_meet(parts, WIDE), "a long, b long")
+    if some:
+        again = posted.join(busy, "bucket").mapInArrow(_post_prints_again(parts), "bucket long, other long, part long, postings binary")
+        found = found.unionByName(again.groupBy("bucket", "other", "part").applyInArrow(_meet(parts, WIDE), "a long, b long"))
+    met = components(first.unionByName(found), f"{name}-met")
+    for old in (hot, first, labels, busy):
+        drop(old)
+    return met
+
+
 def _sieve(met: DataFrame, bits: int) -> np.ndarray:
     """Words whose bits are set at the ids of met(node), modulo bits (a power of two)."""
     at = met.select(F.col("node").bitwiseAND(F.lit(bits - 1).cast("long")).alias("at"))
@@ -574,21 +642,9 @@ def similar_texts(docs: DataFrame, shingle: int = 5, name: str = "similar") -> D
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = cut(rows.mapInArrow(_sets(shingle), "doc_id long, id long, prints binary, shingles binary"), "sets")
-    prints = rows.select("id", "prints").dropDuplicates(["id"])
-    parts = min(256, max(1, -(-rows.count() // BUCKET)))
-    posted = prints.mapInArrow(_post_prints(parts), "bucket long, postings binary")
-    busy = None
-    if parts > 1:  # else no bucket has more than BUCKET
-        posted = (prints := cut(prints, f"{name}-prints")).mapInArrow(_post_prints(parts), "bucket long, postings binary")
-        busy = cut(posted.groupBy("bucket").agg((F.sum(F.octet_length("postings")) / (8 * WORDS + 8)).cast("long").alias("n")).where(F.col("n") > HOT), f"{name}-busy")
-    some = busy is not None and not busy.isEmpty()
-    found = (posted.join(busy, "bucket", "left_anti") if some else posted).groupBy("bucket").applyInArrow(_meet(parts, WIDE), "a long, b long")
-    if some:
-        again = posted.join(busy, "bucket").mapInArrow(_post_prints_again(parts), "bucket long, other long, part long, postings binary")
-        found = found.unionByName(again.groupBy("bucket", "other", "part").applyInArrow(_meet(parts, WIDE), "a long, b long"))
-    met = components(found, f"{name}-met")
-    for old in (prints, busy):
-        drop(old)
+    prints = cut(rows.select("id", "prints").dropDuplicates(["id"]), f"{name}-prints")
+    met = _met(prints, name)
+    drop(prints)
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(met, SIEVE))
     candidates = rows.select("id", "shingles").mapInArrow(_sift(sieve), "id long, shingles binary").dropDuplicates(["id"]).join(met.withColumnRenamed("node", "id"), "id")
     # blocks of half the bytes of each group; a group of one block is a task's, else each row goes to every pair of its block

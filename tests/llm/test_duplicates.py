@@ -307,6 +307,29 @@ def test_pairs_are_told_by_the_tally_of_their_bytes(monkeypatch):
         assert set(told()) >= set(want) if dense else roots(len(rows), told()) == roots(len(rows), want)
 
 
+def test_a_group_is_not_spanned_in_each_list(spark, monkeypatch):
+    """A group's links to its candidates are some a text, not one for each of the 90 lists that a text is in."""
+    told = {}
+
+    def counted(edges, name):
+        told[name] = edges.count()
+        return components(edges, name)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    for n in (200, 800):
+        texts = near_copies(3, n)
+        got = simhash.similar_texts(docs(spark, texts)).collect()
+        assert {r.component_id for r in got} == {0} and len(got) == n
+        assert len(set(texts)) - 1 <= told["similar-met"] < 20 * n
+
+
+def test_labels_that_repeat_are_linked_once():
+    ids = np.array([7, -3, 7, 5, 5, 9], np.int64)
+    got = simhash._stars(ids, np.array([0, 1, 3, 2]), np.array([2, 2, 4, 1])).to_pydict()
+    assert got == {"a": [-3], "b": [7]}
+    assert simhash._stars(ids, np.array([0, 3, 1]), np.array([3, 5, 4])).to_pydict() == {"a": [-3, -3, -3], "b": [5, 7, 9]}
+
+
 def test_busy_lists_are_posted_again(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 60)
     monkeypatch.setattr(simhash, "HOT", 20)
